@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import warc
+from .common import fresh_path, table
 from .decontamination import find_leaks
+from .html_extraction import extract
 from .language_id import identify
+from .lm_scoring import cross_entropy_difference
 from .media import features, to_media
 from .packing import pack_documents
+from .sharding import fill_table, place
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 
@@ -21,6 +26,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The shards of the placement query.
+SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(to_media(table(spark, sf_dir, "documents")))
 
@@ -29,26 +42,84 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents"), ["doc_id"], SHARDS)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.transform(F.array_sort("removed"), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"), r["kept_doc_id"].cast("string")))
+    n = F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed")
+    return found.select("doc_id", "text", n, F.coalesce(F.array_join(spans, " "), F.lit("")).alias("removed"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_media_jpeg, op3_simhash_golay, op5_decontamination, op6_substring_dedup, op8_packing, op10_language_id)
+    found = (
+        op1_lm_scoring, op2_media_jpeg, op3_simhash_golay, op4_sharding, op5_decontamination, op6_substring_dedup,
+        op7_warc, op8_packing, op9_html_extraction, op10_language_id,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Placement, with the filled table as a literal; substring removal in full."""
+    filled = ",".join(SHARDS[k] for k in fill_table(SHARDS))
+    return {"op4_sharding": _PLACEMENT.format(filled=filled), "op6_substring_dedup": _SUBSTRING, "op7_warc": _WARC}
+
+
+_PLACEMENT = """
+WITH lookup AS (SELECT string_split('{filled}', ',') AS shards),
+hashed AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT % 65537 AS slot FROM documents)
+SELECT doc_id, slot, shards[slot + 1] AS shard FROM hashed, lookup
+"""
+_SUBSTRING = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS k, len(parts) AS n FROM split),
+placed AS (
+  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm,
+    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM lines),
+ranked AS (
+  SELECT *, len(string_split(norm, ' ')) >= 5 AS unit, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) AS rk,
+    first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, pos) AS kept
+  FROM placed),
+marked AS (SELECT *, unit AND rk > 1 AS gone FROM ranked)
+SELECT d.doc_id,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line || CASE WHEN k < n THEN chr(10) ELSE '' END, '' ORDER BY k) FILTER (WHERE NOT gone), '') END AS text,
+  count(*) FILTER (WHERE gone) AS n_removed,
+  coalesce(string_agg(pos || '-' || (pos + length(line)) || '-' || kept, ' ' ORDER BY k) FILTER (WHERE gone), '') AS removed
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id
+GROUP BY d.doc_id, d.text
+"""
+_WARC = """
+WITH payloads AS (
+  SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads)
+SELECT page_id, url, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
