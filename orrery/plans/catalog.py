@@ -369,11 +369,11 @@ def _nearest_truth(rows: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFram
 def _descent_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of true nearest neighbours that the descended graph has."""
     rows = vectors(spark, sf_dir).select("id", "vec")
-    edges = graph.descend(rows, s=8, outer=2, inner=3, r=32)
+    edges = graph.descend(rows, s=16, outer=2, r=32)
     true = graph.knn_graph(rows, 1)
     found = edges.select(F.col("src").alias("qid"), F.col("dst").alias("id"))
     truth = true.select(F.col("src").alias("qid"), F.col("dst").alias("id"), F.lit(1).alias("rank"))
-    return _checked_recall(found, truth, 1, rows.select(F.col("id").alias("qid")), 0.7)
+    return _checked_recall(found, truth, 1, rows.select(F.col("id").alias("qid")), 0.9)
 
 
 def _graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
