@@ -105,9 +105,10 @@ class Index:
     def validated(self, items: DataFrame) -> DataFrame:
         return mutation.validated(self._items(items), self.dim)
 
-    def _items(self, items: DataFrame) -> DataFrame:
+    def _items(self, items: DataFrame, order_col: str | None = None) -> DataFrame:
         payload = F.col("payload").cast("string") if "payload" in items.columns else F.lit(None).cast("string")
         kept = [F.col("ts")] if "ts" in items.columns else []
+        kept += [F.col(order_col).cast("long").alias("_order")] if order_col else []
         return items.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"), payload.alias("payload"), *kept)
 
     def _next(self) -> int:
@@ -128,9 +129,9 @@ class Index:
     def insert_many(self, items: DataFrame, order_col: str | None = None) -> None:
         """Insert a table (id, vec[, payload]). All rows are checked before any is written. Of rows of
         one id the one of the greatest ``order_col`` wins."""
-        rows = self._items(items) if order_col is None else self._items(items).withColumn("_order", items[order_col])
+        rows = self._items(items, order_col)
         mutation.check(rows.select("id", "vec", "payload"), self.dim)
-        self._write_upserts(rows, F.col("_order").cast("long") if order_col else F.lit(0), "batch")
+        self._write_upserts(rows, F.col("_order") if order_col else F.lit(0), "batch")
 
     bulk_build = insert_many
 
