@@ -121,7 +121,7 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, width:
     the greatest gain that fits into the fuller bin. Bins that get empty go. It ends with as few
     bins as the total allows, when a pass changes nothing, or after ``passes``.
     """
-    sizes_of = sizes.tolist()
+    bins, sizes_of = [list(b) for b in bins], sizes.tolist()
     fill = [sum(sizes_of[i] for i in b) for b in bins]
     fewest, left = -(-sum(fill) // capacity), len(bins)
     for _ in range(passes):

@@ -12,7 +12,6 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut_lineage
 
@@ -76,7 +75,7 @@ class _Roll:
         self.out = system.open_output_stream(f"{path}/{self.temporary}", compression=None)
         self.bytes = self.records = 0
         self.sha = hashlib.sha256()
-        fields = f"software: orrery\r\nformat: WARC File Format 1.1\r\n".encode()
+        fields = b"software: orrery\r\nformat: WARC File Format 1.1\r\n"
         info = [
             ("WARC-Type", "warcinfo"),
             ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_IDS, self.name)}>"),
@@ -234,17 +233,21 @@ def _members(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """The headers, in lower case, and the block of an unpacked record."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    version, *lines = head.decode("utf-8", "replace").split("\r\n")
-    if not gap or not version.startswith("WARC/"):
-        raise ValueError("no WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    size = int(headers["content-length"])
-    if len(rest) < size:
-        raise ValueError("the block isn't whole")
-    return headers, rest[:size]
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers, in lower case, and the block of each record of an unpacked member."""
+    at = 0
+    while data[at:].strip():
+        end = data.find(b"\r\n\r\n", at)
+        version, *lines = data[at : max(at, end)].decode("utf-8", "replace").split("\r\n")
+        if end < 0 or not version.startswith("WARC/"):
+            raise ValueError("no WARC record")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = int(headers["content-length"])
+        block = data[end + 4 : end + 4 + size]
+        if len(block) < size:
+            raise ValueError("the block isn't whole")
+        yield headers, block
+        at = end + 4 + size + 4
 
 
 def _page_row(headers: dict[str, str], block: bytes) -> tuple:
@@ -264,27 +267,31 @@ def _page_row(headers: dict[str, str], block: bytes) -> tuple:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The page records of the archives that the manifest of ``folder`` names, in any order: page_id,
     url, record_type, refers_to, payload_bytes, payload_digest, record_id, file and offset. Blocks
-    and payloads are held against their digests; a difference fails the task."""
+    and payloads are held against their digests, files against their number of records; a difference
+    fails the task."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(folder)
     with system.open_input_stream(f"{path}/MANIFEST.json", compression=None) as file:
-        names = [(f["name"],) for f in json.loads(file.read())["files"]]
+        names = [(f["name"], f["records"]) for f in json.loads(file.read())["files"]]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     columns = [x.split()[0] for x in _RECORDS.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                found = []
+            for name, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, n = [], 0
                 with system.open_input_stream(f"{path}/{name}", compression=None) as file:
                     for offset, data in _members(file):
-                        headers, block = parse_record(data)
-                        if headers["warc-type"] in ("response", "revisit"):
-                            found.append((*_page_row(headers, block), name, offset))
+                        for headers, block in parse_records(data):
+                            n += 1
+                            if headers["warc-type"] in ("response", "revisit"):
+                                found.append((*_page_row(headers, block), name, offset))
+                if n != records:
+                    raise ValueError(f"{name} has {n} records, not {records}")
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], names=columns)
 
-    files = spark.createDataFrame(names, T.StructType([T.StructField("name", T.StringType())]))
+    files = spark.createDataFrame(names, "name string, records long")
     return files.repartition(max(1, len(names))).mapInArrow(rows, _RECORDS)

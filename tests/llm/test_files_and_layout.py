@@ -1,0 +1,234 @@
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from orrery.llm import packing as P
+from orrery.llm import sharding as S
+from orrery.llm import warc
+from orrery.llm.html_extraction import extract, main_text
+from orrery.llm.queries import tokenizer_path
+
+
+def plain_table(shards, size):
+    prefs = []
+    for s in shards:
+        offset, skip = S._hash(s, "offset") % size, S._hash(s, "skip") % (size - 1) + 1
+        prefs.append([(offset + j * skip) % size for j in range(size)])
+    table, turn = {}, 0
+    while len(table) < size:
+        table[next(p for p in prefs[turn % len(shards)] if p not in table)] = turn % len(shards)
+        turn += 1
+    return [table[i] for i in range(size)]
+
+
+def test_table_by_turns():
+    shards = [f"s{i}" for i in range(7)]
+    table = S.fill_table(shards, 251)
+    assert table == plain_table(shards, 251)
+    share = Counter(table)
+    assert max(share.values()) - min(share.values()) <= 1
+    big, less = S.fill_table(shards, 5003), S.fill_table(shards[:-1], 5003)
+    moved = sum(a != b for a, b in zip(big, less) if a != 6)
+    assert moved / 5003 < 0.15, "losing a shard moves few of the others' slots"
+    weighted = Counter(S.fill_table(shards, 5003, [1, 1, 1, 1, 1, 1, 2]))
+    assert abs(weighted[6] / weighted[0] - 2) < 0.05
+
+
+@pytest.mark.parametrize("shards, size, weights", [([], 7, None), (["a", "a"], 7, None), (["a", "b"], 8, None), (["a", "b"], 2, None), (["a"], 7, [0]), (["a"], 7, [1, 2])])
+def test_bad_tables(shards, size, weights):
+    with pytest.raises(ValueError):
+        S.fill_table(shards, size, weights)
+
+
+def test_placement(spark):
+    rows = spark.createDataFrame([(i, "k", "own") for i in range(500)] + [(None, "k", "own"), (3, "k", "own")], "doc_id long, source string, shard string")
+    shards = [f"s{i}" for i in range(5)]
+    table = S.fill_table(shards, 251)
+    got = S.place(rows, ["doc_id"], shards, 251).collect()
+    assert len(got) == 502
+    for r in got:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        slot = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) % 251
+        assert (r["slot"], r["shard"]) == (slot, shards[table[slot]])
+    both = S.place(rows, ["source", "doc_id"], shards, 251)
+    assert both.columns == ["source", "doc_id", "slot", "shard"] and both.select("shard").distinct().count() == 5
+    plan = S.place(rows, ["doc_id"], shards)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+    assert S.place(rows.limit(0), ["doc_id"], shards).count() == 0
+
+
+PAGES = [(1, "http://a/", "x" * 200), (5, "http://b/", "x" * 200), (3, "http://c/\r\nd", "x" * 200), (4, None, None), (6, "u", ""), (7, "u", "short"), (8, "u", "short"),
+         (9, "u", "é" * 60), (2, "u", "é" * 60), (10, "u", "z" * 300), (10, "u", "z" * 300), (10, "v", "other" * 60), (None, "n", "x" * 200), (11, "u", "\r\n\r\n" * 50)]
+
+
+def archive(spark, folder, pages, partitions, **more):
+    rows = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string").repartition(partitions)
+    warc.write(rows, f"file://{folder}", **more)
+    return {p.name: p.read_bytes() for p in Path(folder).iterdir() if p.is_file() and not p.name.endswith(".crc")}
+
+
+def test_archive_round_trip(spark, tmp_path):
+    files = archive(spark, tmp_path / "a", PAGES, 3)
+    assert set(files) == {"MANIFEST.json", "part-000000-00000.warc.gz"} and not (tmp_path / "a/_temporary").exists()
+    rows = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert len(rows) == len(PAGES)
+    first = {}
+    for page, _, html in PAGES:
+        if page is not None and len((html or "").encode()) >= 100:
+            first[html] = min(page, first.get(html, page))
+    for r in rows:
+        html = next(h or "" for p, u, h in PAGES if p == r["page_id"] and hashlib.sha256((h or "").encode()).hexdigest() == r["payload_digest"])
+        assert r["payload_bytes"] == len(html.encode())
+        if r["record_type"] == "revisit":
+            assert r["refers_to"] == first[html]
+        else:
+            assert r["refers_to"] is None
+    kinds = Counter((r["page_id"], r["record_type"]) for r in rows)
+    assert kinds[1, "response"] == kinds[3, "revisit"] == kinds[5, "revisit"] == kinds[2, "response"] == kinds[9, "revisit"] == kinds[None, "response"] == 1
+    assert kinds[7, "response"] == kinds[8, "response"] == 1 and kinds[10, "response"] == 2 and kinds[10, "revisit"] == 1
+    raw = gzip.decompress(files["part-000000-00000.warc.gz"])
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and raw.count(b"WARC/1.1\r\n") == len(PAGES) + 1
+    ids = re.findall(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]+>)", raw)
+    assert len(set(ids)) == len(ids) and all(x in ids for x in re.findall(rb"WARC-Refers-To: (\S+)", raw))
+
+
+def test_archives_are_deterministic(spark, tmp_path):
+    rng = random.Random(9)
+    pages = [(rng.randrange(10_000), f"http://h/{i}", "".join(rng.choice("abcdef") for _ in range(rng.randint(0, 900)))) for i in range(300)]
+    a = archive(spark, tmp_path / "a", pages, 2, shard_bytes=20_000, roll_bytes=4_000)
+    b = archive(spark, tmp_path / "b", pages[::-1], 5, shard_bytes=20_000, roll_bytes=4_000)
+    assert a == b and len(a) > 8
+    ranges = {}
+    for r in warc.read(spark, f"file://{tmp_path}/a").collect():
+        ranges.setdefault(r["file"], []).append(r["page_id"])
+    spans = sorted((min(x), max(x)) for x in ranges.values())
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    assert archive(spark, tmp_path / "c", [], 1).keys() == {"MANIFEST.json"}
+    assert warc.read(spark, f"file://{tmp_path}/c").count() == 0
+
+
+def test_broken_archives(spark, tmp_path):
+    archive(spark, tmp_path / "a", PAGES, 1)
+    file = tmp_path / "a/part-000000-00000.warc.gz"
+    raw = gzip.decompress(file.read_bytes()).replace(b"xxxxxxxxxx", b"xxxxyxxxxx", 1)
+    file.write_bytes(gzip.compress(raw))
+    with pytest.raises(Exception, match="another digest"):
+        warc.read(spark, f"file://{tmp_path}/a").count()
+    file.write_bytes(gzip.compress(raw[: raw.rindex(b"WARC/1.1")]))
+    with pytest.raises(Exception, match="another digest|records"):
+        warc.read(spark, f"file://{tmp_path}/a").count()
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return P.Tokenizer(tokenizer_path())
+
+
+def test_ids_are_those_of_the_library(tokenizer, spark, sf):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["don't I'VE ＡＢ １２ ǅ İstanbul ß ﬁ é 中文 ½²", "<|endoftext|> x <|", "a\xa0b\x00c\x7f½x²³ª'S'T ÷×Ñ µ x\x0b\x0cy\x80\xad", "\x1c\x85'Sİ'll", "", " ", "😀👍🏽 क्षि", "é x", "'s's 'll"]
+    for t in texts:
+        assert tokenizer.library.encode(t, add_special_tokens=False).ids == tokenizer.ids(t).tolist()
+
+
+def test_packing(spark, tokenizer):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["alpha", "beta", "zz9", "don't"]) for _ in range(rng.choice([0, 1, 5, 40, 300, 900, 5000]))) for _ in range(120)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(3, texts[3], 5), (None, "null id", 5)], "doc_id long, text string, length int")
+    rows = P.pack_documents(docs, tokenizer_path()).collect()
+    by_doc, bins = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        bins.setdefault(r["sequence_id"], []).append(r)
+    for i, t in enumerate(texts):
+        ids = np.append(tokenizer.ids(t or ""), 0).astype("<u4")
+        own = sorted(by_doc[i], key=lambda r: r["piece"])
+        if i != 3:
+            assert [r["start"] for r in own] == list(range(0, len(ids), 2048))
+        for r in own:
+            part = ids[r["start"] : r["start"] + r["length"]]
+            assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"]
+            assert r["length"] == 2048 or r["start"] + r["length"] == len(ids)
+    for own in bins.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    assert len(bins) <= 1.1 * -(-sum(r["length"] for r in rows) // 2048)
+    whole = P.pieces(docs.where("doc_id < 5"), tokenizer_path()).collect()
+    assert all(len(r["ids"]) == r["length"] for r in whole)
+    assert P.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_many_groups_meet_again(spark):
+    rng = np.random.default_rng(11)
+    sizes = rng.integers(100, 1500, 900)
+    rows = spark.createDataFrame([(i, 0, 0, int(s), 0) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = P.pack(rows, per_group=100).collect()
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(got) == 900 and max(fill.values()) <= 2048 and len(fill) <= 1.08 * -(-sizes.sum() // 2048)
+
+
+def test_local_search_empties_bins():
+    squares = lambda bins, s: sum(sum(s[i] for i in b) ** 2 for b in bins)
+    for seed in range(20):
+        sizes = np.random.default_rng(seed).integers(20, 70, 40)
+        start = [[i] for i in range(40)]
+        bins = P.local_search(start, sizes, 100)
+        assert sorted(i for b in bins for i in b) == list(range(40)) and max(sum(sizes[b]) for b in bins) <= 100
+        assert len(bins) < 40 and squares(bins, sizes) > squares(start, sizes)
+    # Two bins of 60 + 35 and one of 50 + 15: exchanges of one for two fill one bin and free another.
+    sizes = np.array([60, 35, 60, 35, 5, 5])
+    assert len(P.local_search([[0, 1], [2, 3], [4, 5]], sizes, 100)) == 2
+    move = P._exchange([0], [1], [50, 40, 10], 10)
+    assert move == (10, [0], [1])
+    assert P._exchange([0], [1, 2], [70, 40, 20], 10) == (10, [0], [1, 2])
+    assert P._exchange([0, 1], [2], [30, 20, 45], 5) == (5, [0, 1], [2]) or P._exchange([0, 1], [2], [30, 20, 45], 5)[0] == 5
+
+
+ARTICLE = "<h1>Title here</h1><p>First paragraph, with some text. It goes on, and on.</p><p>Of.</p><ul><li>One item</li><li>Two &amp; three</li></ul><p>Last <b>bo</b>ld&nbsp;one &eacute;; with punctuation, too.</p>"
+EXPECTED = "Title here First paragraph, with some text. It goes on, and on. Of. One item Two & three Last bold one é; with punctuation, too."
+
+
+@pytest.mark.parametrize("page", [
+    "<html><body><nav><a href=x>Menu one</a><a href=y>Menu two</a></nav><article>{}</article><footer>© 2020, all rights, reserved.</footer></body></html>",
+    "<body><div class='header'>Site, name. And more.</div><div id=content>{}</div><div class=sidebar><p>Read, this. And, that. And, this.</p></div></body>",
+    "<body><main>{}<div class='comments'><p>I think, that it is, very good. Thanks, a lot.</p></div><form>Your name, please</form></main></body>",
+    "<BODY><DIV CLASS='cookie-notice'>We use cookies, really. OK?</DIV><SCRIPT>var t='</p><article>x';</SCRIPT><STYLE>p{{}}</STYLE><SECTION>{}</SECTION><ASIDE>Ad, ad, ad.</ASIDE>",
+    "<body><!-- <article>no</article> --><table><tr><td>{}</td></tr></table><div role=navigation><ul><li>Home<li>News<li>More</ul></div><p hidden>Not, shown. At, all.</p></body>",
+])
+def test_main_text(page):
+    assert main_text(page.format(ARTICLE)) == EXPECTED
+
+
+def test_odd_pages(spark):
+    assert main_text("<p>one, two.<p>three, <i>four</i>.") == "one, two. three, four."
+    assert main_text("no tags, but text") == "no tags, but text"
+    odd = [None, "", "<", "<div", "</p></p>", "<script>never closed", "<a" * 5000, "<div>" * 3000 + "deep, text." + "</div>" * 10, "&lt;b&gt; &#x41;&bogus;", "<p>" + "x" * 200_000]
+    rows = spark.createDataFrame([(i, None, h, 1) for i, h in enumerate(odd)] + [(None, "u", odd[5], 1)], "page_id long, url string, html string, text int")
+    got = {r["page_id"]: r for r in extract(rows).collect()}
+    assert len(got) == len(odd) + 1 and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert got[0]["text"] == got[1]["text"] == "" and got[7]["text"] == "deep, text." and got[8]["text"] == "<b> A&bogus;" and got[9]["n_chars"] == 200_000
+    assert extract(rows.limit(0)).count() == 0
+
+
+def test_pages_of_the_tables(spark, sf):
+    """The article element of these pages is what their authors mean."""
+    from html import unescape
+
+    rows = extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in rows:
+        inner = re.search(r"<article>(.*)</article>", html[r["page_id"]], re.S)[1]
+        want = unescape(re.sub(r"</?(?!b>)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", ""))
+        assert r["text"] == " ".join(want.split())
