@@ -16,6 +16,8 @@ from ..functions.predicate import compile_filter
 #: Elements of query vectors that one pass over the vectors holds in each task.
 QUERY_ELEMENTS = 1 << 20
 _ROWS = 8192
+#: Distances that one matrix product gives at most.
+_PRODUCTS = 1 << 22
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -85,17 +87,23 @@ def _scan(block, k: int, metric: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries = block.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids)
-        rows = max(64, _ROWS * 64 // max(1, len(qids)))
+        edge = np.full(len(qids), np.inf)
+        rows = max(256, _PRODUCTS // max(1, len(qids)))
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1), queries.shape[1])
                 near = D.pairwise(metric, queries, vectors)
-                for q, query in enumerate(queries):
-                    places, far = _nearest(metric, query, near[q], ids, vectors, k)
-                    ids_, far_ = np.concatenate((best[q][0], ids[places])), np.concatenate((best[q][1], far))
+                with np.errstate(invalid="ignore"):
+                    hit = near <= (edge + 1e-6 * (1 + np.abs(edge)))[:, None]
+                for q in np.nonzero(hit.any(axis=1))[0]:  # queries for which a row may be among the best so far
+                    here = np.nonzero(hit[q])[0]
+                    places, far = _nearest(metric, queries[q], near[q, here], ids[here], vectors[here], k)
+                    ids_, far_ = np.concatenate((best[q][0], ids[here][places])), np.concatenate((best[q][1], far))
                     order = np.lexsort((ids_, far_))[:k]
                     best[q] = ids_[order], far_[order]
+                    if len(order) == k:
+                        edge[q] = best[q][1][-1]
         count = [len(b[0]) for b in best]
         if sum(count):
             yield pa.RecordBatch.from_arrays(

@@ -182,3 +182,18 @@ def test_stream(spark, index, tmp_path):
     running = live.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination(60)
     assert spark.sql("select sum(n) from counted").first()[0] == events.count()
+
+
+def test_command_line(spark, tmp_path):
+    from orrery.cli import run
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(200, 8)).astype(np.float32)
+    (tmp_path / "b.fvecs").write_bytes(b"".join(struct.pack("<i", 8) + v.tobytes() for v in base))
+    (tmp_path / "q.fvecs").write_bytes(b"".join(struct.pack("<i", 8) + v.tobytes() for v in base[:5] + np.float32(0.01)))
+    near = [np.argsort(((base - q) ** 2).sum(axis=1), kind="stable")[:3].astype("<i4") for q in base[:5] + np.float32(0.01)]
+    (tmp_path / "t.ivecs").write_bytes(b"".join(struct.pack("<i", 3) + v.tobytes() for v in near))
+    paths = [str(tmp_path / f) for f in ("b.fvecs", "q.fvecs", "t.ivecs")]
+    report = run(spark, *paths, k=3, out=f"{tmp_path}/out")
+    assert report["recall"] == 1.0 and report["results"] == 15 and spark.read.json(f"{tmp_path}/out").count() == 15
+    assert run(spark, *paths[:2], k=3, cells=4, probes=4)["recall"] == 1.0
