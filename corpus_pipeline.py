@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import cut_lineage, table
 from orrery.llm.decontamination import remove_leaks
-from orrery.llm.language_id import UNDETERMINED, fold, predict, train
+from orrery.llm.language_id import fold, keep_known, train
 from orrery.llm.packing import pack_documents
 from orrery.llm.queries import tokenizer_path
 from orrery.llm.simhash_dedup import keep_first
@@ -21,8 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a recognised language."""
     model = train(docs.where(fold("doc_id") != 2), "text", "lang")
-    unknown = predict(docs, model).where(F.col("lang_pred") == UNDETERMINED).select(F.col("doc_id").alias("_gone"))
-    return docs.join(unknown.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    return keep_known(docs, model).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove the repeated lines; documents of which nothing is left go."""
-    found = remove_repeats(docs.select(*COLUMNS), keep=("lang", "source"))
+    found = remove_repeats(docs, keep=("lang", "source"))
     left = found.where("removed is null or length(trim(text)) > 0")
     return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 

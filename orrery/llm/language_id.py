@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNDETERMINED = "und"
 #: Loss differences are scaled by this before they are turned into a score.
@@ -123,7 +124,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, features: int = 1 <
             )
 
     counts = rows.mapInArrow(summed, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    return _fit(counts.toPandas(), features)
+    return _fit(counts.toArrow().to_pandas(), features)
 
 
 def _fit(counts: pd.DataFrame, features: int) -> Model:
@@ -155,40 +156,43 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / likely.sum(axis=1)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) for each row, from the whole text alone.
+def classify(text: Column, model: Model) -> Column:
+    """A struct (lang_pred, score, ambiguous), from the whole text alone.
 
     A null text and one without any letter give ``und`` with score 1; so does every text if the
-    model has no language. Ids are passed on as they are, nulls and repeats too.
-    """
+    model has no language."""
+    names = np.array(model.languages, dtype=object)
     features = model.weights.shape[0]
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+
+    @F.pandas_udf(kind)
+    def scored(lowered: pd.Series, lettered: pd.Series) -> pd.DataFrame:
+        pred = np.full(len(lowered), UNDETERMINED, dtype=object)
+        score = np.ones(len(lowered))
+        step = max(1, (1 << 23) // (features * 4))
+        for at in range(0, len(lowered), step):
+            texts = lowered.iloc[at : at + step].tolist()
+            known = lettered.iloc[at : at + step].to_numpy(dtype=bool) & (len(names) > 0)
+            if known.any():
+                counts = ngram_counts(texts, features)
+                margins = counts @ model.weights / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+                best, sure = decode(model, margins)
+                pred[at : at + step][known] = names[best][known]
+                score[at : at + step][known] = sure[known]
+        return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": score < AMBIGUOUS})
+
+    return scored(_lowered(text), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous) for each row. Ids are passed on, nulls and repeats too."""
+    found = classify(F.col(text_col), model).alias("_language")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), found).select("doc_id", "_language.*")
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(model.languages, dtype=object)
-        for batch in batches:
-            lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            pred = np.full(batch.num_rows, UNDETERMINED, dtype=object)
-            score = np.ones(batch.num_rows)
-            for at, texts in _chunks(batch, features):
-                known = lettered[at : at + len(texts)] & (len(names) > 0)
-                if known.any():
-                    counts = ngram_counts(texts, features)
-                    margins = counts @ model.weights / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-                    best, sure = decode(model, margins)
-                    pred[at : at + len(texts)][known] = names[best][known]
-                    score[at : at + len(texts)][known] = sure[known]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)],
-                names=["doc_id", "lang_pred", "score", "ambiguous"],
-            )
 
-    text = F.col(text_col)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        _lowered(text).alias("text"),
-        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
-    )
-    return rows.mapInArrow(scored, "doc_id long, lang_pred string, score double, ambiguous boolean")
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language can't be told, judged where they are read."""
+    return docs.where(classify(F.col(text_col), model)["lang_pred"] != UNDETERMINED)
 
 
 def fold(id_col: str) -> Column:
