@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits in which the fingerprints of an item and a window of that similarity may differ.
-RADIUS = 19
+RADIUS = 23
 BLOCKS, BLOCK_BITS = 4, 16
 #: Words of benchmark text that one pass over the documents holds in each task.
 WORDS_PER_PASS = 1_000_000
@@ -204,17 +204,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out if out is not None else spark.createDataFrame([], kind)
 
 
+class _Scan:
+    """What a task looks texts up in."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.cache = _Words()
+        self.indexes = [(index, {}) for index in indexes(items, self.cache)]
+
+    def matches(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
+        words = words_of(text or "")
+        hashes = np.array(list(map(self.cache.__getitem__, words)), dtype=np.uint64)
+        return [m for index, tables in self.indexes for m in index.matches(hashes, tables)] if words else []
+
+
 def _scanner(block):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Words()
-        found_by = [(index, {}) for index in indexes(block.value, cache)]
+        within = _Scan(block.value)
         for batch in batches:
-            found = []
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                words = words_of(text.as_py() or "")
-                if words:
-                    hashes = np.array(list(map(cache.__getitem__, words)), dtype=np.uint64)
-                    found += [(doc.as_py(), *m) for index, tables in found_by for m in index.matches(hashes, tables)]
+            found = [(doc.as_py(), *m) for doc, text in zip(batch.column(0), batch.column(1)) for m in within.matches(text.as_py())]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
             columns = list(zip(*found)) if found else [[]] * 6
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +232,20 @@ def _scanner(block):
     return scan
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without an id stay."""
-    gone = find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item, by the rule of find_leaks(). Each
+    row is judged by its own text where it is read, so that nothing is shuffled or joined."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    at = docs.columns.index(text_col)
+
+    def kept(block):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            within = _Scan(block.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not within.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        return scan
+
+    for block in _passes(items, WORDS_PER_PASS):
+        docs = docs.mapInArrow(kept(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs
