@@ -1,50 +1,19 @@
-"""What the training-data operators share: tables, the shared folder, cut lineage, components."""
+"""What the training-data operators share: tables and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..lineage import cut_lineage, fresh_path
+
+__all__ = ["connected_components", "cut_lineage", "fresh_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    A temporary folder of this process stands in only where the setting is absent, as in tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="orrery-")
-        atexit.register(shutil.rmtree, _own[app], True)
-    return "file://" + _own[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start at the written table,
-    so it is computed once and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One star step over (u, v) with u > v; the result has the same form."""
     if large:
