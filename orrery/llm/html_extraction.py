@@ -41,6 +41,7 @@ _BOILERPLATE = re.compile(
     r"social|related|recommended|widget|toolbar|pagination|pager|login|signup|search|skip|legal|copyright)(?=$|[\s_-])",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?=$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _TAG = re.compile(
@@ -50,21 +51,22 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Whether an element is set apart from the article by its name, class, id, role or being hidden."""
+def _apart(name: str, attributes: str) -> int:
+    """Whether an element is set apart from the article: 2 for certain, by its name, role, being hidden
+    or being comments; 1 by another class or id, which an article within it overrules; else 0."""
     if name in _ASIDE:
-        return True
-    if not attributes.strip() or name in _NOT_BY_NAME:
-        return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values)
-        if key in ("class", "id") and _BOILERPLATE.search(value):
-            return True
-        if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        return 2
+    found = 0
+    if attributes.strip() and name not in _NOT_BY_NAME:
+        for key, *values in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), "".join(values)
+            if key in ("class", "id") and _BOILERPLATE.search(value):
+                found = max(found, 2 if _COMMENTS.search(value) else 1)
+            elif key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+                return 2
+            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return 2
+    return found
 
 
 class _Node:
@@ -81,7 +83,7 @@ def text_nodes(html: str) -> tuple[list[_Node], list[str]]:
     block and aren't in paths; what browsers close unasked (p, li, td ...) is closed here too."""
     nodes: list[_Node] = []
     names: list[str] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = in_link = at = 0
 
@@ -91,7 +93,7 @@ def text_nodes(html: str) -> tuple[list[_Node], list[str]]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 path = ".".join(s[0] for s in stack)
-                nodes.append(_Node(path, tuple(s[1] for s in stack), bool(stack) and stack[-1][2], text, min(linked, len(text))))
+                nodes.append(_Node(path, tuple(s[1] for s in stack), bool(stack) and stack[-1][2] > 0, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -133,12 +135,14 @@ def text_nodes(html: str) -> tuple[list[_Node], list[str]]:
             stack.pop()
         while stack and stack[-1][0] in _CLOSES.get(name, ()):
             stack.pop()
-        if name == "header" or name == "figure":
-            inside = any(s[0] in ("article", "main") for s in stack)
-            apart = not inside or _marked("div", attributes)
+        around = stack[-1][2] if stack else 0
+        if name in ("article", "main"):
+            apart = around if around == 2 else 0
+        elif name in ("header", "figure") and any(s[0] in ("article", "main") for s in stack):
+            apart = max(around, _apart("div", attributes))
         else:
-            apart = _marked(name, attributes)
-        stack.append((name, len(names), apart or bool(stack) and stack[-1][2]))
+            apart = max(around, _apart(name, attributes))
+        stack.append((name, len(names), apart))
         names.append(name)
     flush()
     return nodes, names

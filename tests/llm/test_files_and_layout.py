@@ -207,6 +207,7 @@ EXPECTED = "Title here First paragraph, with some text. It goes on, and on. Of.
     "<body><div class='header'>Site, name. And more.</div><div id=content>{}</div><div class=sidebar><p>Read, this. And, that. And, this.</p></div></body>",
     "<body><main>{}<div class='comments'><p>I think, that it is, very good. Thanks, a lot.</p></div><form>Your name, please</form></main></body>",
     "<BODY><DIV CLASS='cookie-notice'>We use cookies, really. OK?</DIV><SCRIPT>var t='</p><article>x';</SCRIPT><STYLE>p{{}}</STYLE><SECTION>{}</SECTION><ASIDE>Ad, ad, ad.</ASIDE>",
+    "<body><div class='layout with-sidebar'><article>{}</article><div class=sidebar>Other, things. To read.</div></div><div id=comments><article><p>A reader, says. This, and that.</p></article></div>",
     "<body><!-- <article>no</article> --><table><tr><td>{}</td></tr></table><div role=navigation><ul><li>Home<li>News<li>More</ul></div><p hidden>Not, shown. At, all.</p></body>",
 ])
 def test_main_text(page):
