@@ -49,7 +49,7 @@ class Index:
         if index._exists() and not reinit:
             raise InvalidArgument(f"there is an index at {path}")
         spark.createDataFrame([], mutation.LOG_SCHEMA).withColumn("batch", F.lit("")).write.mode("overwrite").partitionBy("batch").parquet(f"{index.path}/log")
-        for table in ("cells", "edges"):
+        for table in ("cells", "edges", "batches"):
             index._delete(table)
         spark.createDataFrame([(json.dumps(index.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{index.path}/meta")
         return index
@@ -62,7 +62,7 @@ class Index:
         return cls(spark, path, json.loads(spark.read.text(f"{index.path}/meta").first()[0]))
 
     def drop(self) -> None:
-        for table in ("log", "meta", "cells", "edges"):
+        for table in ("log", "meta", "cells", "edges", "batches"):
             self._delete(table)
 
     def describe(self) -> dict[str, Any]:
@@ -141,7 +141,7 @@ class Index:
 
     def append_batch(self, items: DataFrame, batch: str, order: str | None = None) -> None:
         """Append checked items under a batch name, once: a batch that is there already is left as it is."""
-        if self._exists(f"log/batch={batch}"):
+        if self._exists(f"log/batch={batch}") or self._exists(f"batches/{batch}"):
             return
         position = F.unix_micros(order) if order else F.pmod(F.xxhash64("vec"), F.lit(1 << 20))
         base = self._next()
@@ -150,6 +150,20 @@ class Index:
             seq = F.lit(base).cast("long") + position - F.lit(low)
             self._append(mutation.upserts(items, seq), batch)
 
+    def compact(self) -> None:
+        """Replace the log by the current view: what many small writes and dead versions cost readers
+        goes, and so do the counts of versions. Nothing may be written meanwhile."""
+        view = mutation.current_view(self.log)
+        rows = mutation.upserts(view, F.lit(1)).withColumn("batch", F.lit("compacted"))
+        rows.write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/log-compacted")
+        system, log = self._hadoop("log")
+        for status in system.listStatus(log):  # a stream must still find the batches it has written
+            name = status.getPath().getName().removeprefix("batch=")
+            if name.startswith("stream-"):
+                system.mkdirs(self._hadoop(f"batches/{name}")[1])
+        system.delete(log, True)
+        system.rename(self._hadoop("log-compacted")[1], log)
+
     def delete(self, *ids: int) -> None:
         """Delete ids; those that aren't alive don't matter."""
         self._append(mutation.deletes(self._rows([(i,) for i in ids], "id long"), F.lit(self._next())), "batch")

@@ -176,6 +176,11 @@ def test_stream(spark, index, tmp_path):
     assert spark.read.json(f"{tmp_path}/bad").count() == 1
     index.append_batch(spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0], None)], "id long, vec array<float>, payload string"), "stream-0")
     assert index.count() == 2
+    before = sorted(map(str, index.vectors.collect()))
+    index.compact()
+    assert sorted(map(str, index.vectors.collect())) == before and index.stats().first()["tombstones"] == 0
+    index.append_batch(spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0], None)], "id long, vec array<float>, payload string"), "stream-0")
+    assert index.count() == 2
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     events.repartition(1).write.parquet(f"{tmp_path}/events")
     live = windowed_counts(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events"), "30 days", "1 day")
