@@ -75,6 +75,7 @@ def repeated_units(docs: DataFrame, separator: str = LINES, min_words: int = 5,
     found = cut_lineage(_unit_rows(rows, separator, min_words), "units")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("n"))
     first = first.where("n > 1").select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+    first = cut_lineage(first, "first-units")  # a side of its own, or the join couldn't be split on a hot digest
     return (
         found.join(first, "digest")
         .where("doc_id <> kept_doc_id or start <> kept_start")
