@@ -161,7 +161,8 @@ def plain_losses(docs, target, size, cells):
     """The two models from dictionaries."""
     tokens = {d: (t or "").lower().encode().split() for d, t in docs}
     counts = Counter(w for ws in tokens.values() for w in ws)
-    known = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:size], 1)}
+    least = min(n for n in counts.values() if sum(m >= n for m in counts.values()) <= size)
+    known = {w: i for i, w in enumerate(sorted((w for w in counts if counts[w] >= least), key=lambda w: (-counts[w], w)), 1)}
     models = []
     for ids in (target, set(tokens)):
         word, pair = Counter(), Counter()
