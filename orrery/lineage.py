@@ -25,8 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def _own_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
+    return f"{_own_path(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written between rounds. Tables that were read back from
+    there can't be computed any more: call it when their results have been written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_path(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 
 import numpy as np
@@ -202,3 +203,14 @@ def test_command_line(spark, tmp_path):
     report = run(spark, *paths, k=3, out=f"{tmp_path}/out")
     assert report["recall"] == 1.0 and report["results"] == 15 and spark.read.json(f"{tmp_path}/out").count() == 15
     assert run(spark, *paths[:2], k=3, cells=4, probes=4)["recall"] == 1.0
+
+
+def test_written_tables_can_be_cleared(spark):
+    from orrery.lineage import clear, cut_lineage, fresh_path
+
+    rows = cut_lineage(spark.range(5).toDF("id"), "rows")
+    assert rows.count() == 5 and spark.sparkContext.applicationId in fresh_path(spark, "x")
+    path = rows.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    clear(spark)
+    assert not os.path.exists(path)
