@@ -116,9 +116,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(groups), "a", "b").withColumnsRenamed({"node": "fp"})
     rooted = groups.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = cut_lineage(rooted, "rooted")
-    linked = rooted.where("fp <> root").select("root").distinct()
-    several = rooted.join(linked, "root", "left_semi")
-    least = several.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    moved = rooted.where("fp <> root").groupBy("root").agg(F.min("least_id").alias("least_moved"))
+    own = groups.select(F.col("fp").alias("root"), F.col("least_id").alias("own"))
+    least = moved.join(own, "root").select("root", F.least("least_moved", "own").alias("component_id"))
+    least = cut_lineage(least, "least-ids")  # a side of its own, or the join couldn't be split on a large component
     of_print = (
         rooted.join(least, "root", "left")
         .select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
@@ -133,4 +134,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows without an id stay, as do repeated rows of a kept id."""
     found = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(found.distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    found = found.distinct()
+    return docs.join(found, docs[id_col] == found["_gone"], "left_anti")
