@@ -210,3 +210,38 @@ def test_cross_entropy_difference(spark, monkeypatch, most):
     assert np.mean([scores[i] for i in range(1, 60, 2)]) < np.mean([scores[i] for i in range(0, 60, 2)])
     empty = LM.train(table.limit(0), ids)
     assert LM.score(table.limit(0), empty).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [40, 1 << 20])
+def test_every_word_and_pair_counts(spark, block_bytes):
+    rng = random.Random(9)
+    words = ["w%d" % i for i in range(40)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))) for i in range(50)]
+    docs += [(100, None), (101, " \n"), (None, "w1 w2 once"), (7, "w3 Twice"), (7, "w3 twice")]
+    target = {i for i in range(0, 50, 3)} | {7}
+    table = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, score string")
+    ids = spark.createDataFrame([(i,) for i in target] + [(7,), (None,), (999,)], "doc_id long")
+    tokens = [(d, (t or "").lower().split()) for d, t in docs]
+    models = []
+    for chosen in (lambda d: d in target, lambda d: True):
+        word, pair = Counter(), Counter()
+        for d, ws in tokens:
+            if chosen(d) and ws:
+                word.update([None, *ws])
+                pair.update(zip([None, *ws], ws))
+        models.append((word, pair))
+    n = [sum(c for w, c in word.items() if w) for word, _ in models]
+    size, want = len(models[1][0]) - 1, []
+    for d, ws in tokens:
+        losses = []
+        for (word, pair), s in zip(models, (1, n[0] / n[1])):
+            single = {w: (word[w] * s + LM.WORD_PRIOR) / (n[0] + LM.WORD_PRIOR * size) for w in ws}
+            losses.append([-np.log2((pair[v, w] * s + LM.PAIR_PRIOR * single[w]) / (word[v] * s + LM.PAIR_PRIOR)) for v, w in zip([None, *ws], ws)])
+        apart = np.array(losses[0]) - losses[1]
+        want.append((d, len(ws), *(round(float(np.mean(x)), 9) if ws else None for x in (*losses, apart)), *((int(np.argmin(apart)), int(np.argmax(apart))) if ws else (None, None))))
+    got = [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in LM.score_exactly(table, ids, block_bytes=block_bytes).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert LM.score_exactly(table.limit(0), ids).count() == 0
+    labels = ids.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    whole = [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in LM.cross_entropy_difference(table, labels).collect()]
+    assert sorted(whole, key=repr) == sorted(want, key=repr)
