@@ -174,10 +174,10 @@ def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one space.
 
     The paths whose score exceeds THRESHOLD standard deviations select the content nodes; the article
-    is the deepest container that holds nearly all of their text, or the article or main element
-    around it. Every block of the article counts, short ones and headings too, but not what is set
-    apart in it. In a page without any such container, the blocks of the content paths are the text
-    and the blocks between them. Null, empty and textless pages give the empty string.
+    is the deepest container that holds all of them, or the article or main element around them.
+    Every block of the article counts, short ones and headings too, but not what is set apart in it.
+    In a page without any such container under body, every block that isn't set apart is the text.
+    Null, empty and textless pages give the empty string.
     """
     nodes, names = text_nodes(html or "")
     if not nodes:
@@ -186,24 +186,12 @@ def main_text(html: str | None) -> str:
     chosen = (scores > 0) & (scores >= THRESHOLD * scores.std())
     if not chosen.any():
         return ""
-    weight: dict[int, int] = defaultdict(int)
-    for n, c in zip(nodes, chosen):
-        if c:
-            for e in n.elements:
-                weight[e] += len(n.text)
-    total = sum(len(n.text) for n, c in zip(nodes, chosen) if c)
-    holders = [e for e, w in weight.items() if w >= 0.9 * total and names[e] in _CONTAINERS]
-    article = max(holders, default=None)
-    first = next(n for n, c in zip(nodes, chosen) if c and (article is None or article in n.elements))
-    for e in first.elements:
-        if names[e] in ("article", "main") and (article is None or e <= article):
-            article = e
-            break
-    if article is not None and names[article] not in ("html", "body"):
-        kept = [n.text for n in nodes if article in n.elements and not n.apart]
-    else:
-        places = np.nonzero(chosen)[0]
-        kept = [n.text for i, n in enumerate(nodes) if places[0] <= i <= places[-1] and not n.apart and (chosen[i] or n.linked * 2 < len(n.text))]
+    held = [n.elements for n, c in zip(nodes, chosen) if c]
+    around = sorted(set(held[0]).intersection(*held[1:]))
+    article = max((e for e in around if names[e] in _CONTAINERS), default=None)
+    article = next((e for e in around if names[e] in ("article", "main")), article)
+    whole = article is None or names[article] in ("html", "body")
+    kept = [n.text for n in nodes if not n.apart and (whole or article in n.elements)]
     return " ".join(kept)
 
 

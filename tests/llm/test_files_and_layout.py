@@ -214,6 +214,15 @@ def test_main_text(page):
     assert main_text(page.format(ARTICLE)) == EXPECTED
 
 
+def test_main_text_keeps_all_content():
+    long, short = "Words, and more words. " * 40, "A last section, of few words."
+    parts = "<div class=part><p>{}</p></div><div class=part><p>{}</p></div>".format(long, short)
+    assert main_text(f"<body><nav><a href=x>Menu</a></nav><div id=content>{parts}</div></body>") == f"{long}{short}"
+    assert main_text(f"<body><table><tr><td>{long}</td></tr><tr><td>{short}</td></tr></table></body>") == f"{long}{short}"
+    flat = f"<body><nav><a href=x>Menu</a></nav><h1>Title</h1><p>{long}</p><p>{long}</p><p>{long}</p><h4>End</h4><footer>Imprint</footer></body>"
+    assert main_text(flat) == f"Title {long}{long}{long}End"
+
+
 def test_odd_pages(spark):
     assert main_text("<p>one, two.<p>three, <i>four</i>.") == "one, two. three, four."
     assert main_text("no tags, but text") == "no tags, but text"
