@@ -18,8 +18,6 @@ from .common import cut_lineage
 CAPACITY = 2048
 #: Pieces that are packed together in one task.
 PIECES_PER_GROUP = 20_000
-#: Rounds in which the underfull bins of several groups meet again.
-ROUNDS = 2
 END_ID = 0
 _CACHE = 1 << 19
 #: What the split below isn't made for: characters beyond Latin, odd controls, special tokens.
@@ -113,41 +111,98 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, width: int = 64, passes: int = 100) -> list[list[int]]:
-    """Exchange between the ``width`` emptiest bins as long as the sum of squared fills increases.
+class _Open:
+    """The underfull bins that may take documents, by the total that each can give back: nothing or
+    one document (``few``), or two (``pairs``); each total has its (room, bin), sorted."""
+
+    def __init__(self) -> None:
+        self.few: dict[int, list[tuple[int, int]]] = {}
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+
+    def change(self, b: int, own: list[int], room: int, add: bool) -> None:
+        for table, totals in ((self.few, {0, *own}), (self.pairs, _pairs(own))):
+            for total in totals:
+                places = table.setdefault(total, [])
+                if add:
+                    insort(places, (room, b))
+                else:
+                    del places[bisect_left(places, (room, b))]
+                    if not places:
+                        del table[total]
+
+    def step(self, own: list[int], most: int):
+        """(gain, given, total given back, two) of the greatest gain, and its bin: one whose room has
+        the gain and isn't over ``most``, the fullest such; None if there is none."""
+        best = None
+        for given, tables in (({(x,) for x in own}, (self.few, self.pairs)), (_pairs(own).values(), (self.few,))):
+            for give in given:
+                total = sum(give)
+                for table in tables:
+                    for gain in range(min(most, total), best[0] if best else 0, -1):
+                        places = table.get(total - gain)
+                        if places and (total > gain or len(give) == 1):
+                            k = bisect_left(places, (gain, -1))
+                            if k < len(places) and places[k][0] <= most:
+                                best = (gain, give, total - gain, table is self.pairs, places[k][1])
+                                break
+        return best
+
+
+def _pairs(own: list[int]) -> dict[int, tuple[int, int]]:
+    """Two sizes for each total of two of ``own``."""
+    sizes = sorted(set(own))
+    found = {x + y: (x, y) for i, x in enumerate(sizes) for y in sizes[i + 1 :]}
+    return found | {2 * x: (x, x) for x in sizes if own.count(x) > 1}
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Exchange between all underfull bins as long as the sum of squared fills increases.
 
     From the emptiest upwards: move a document into a fuller bin, exchange one for a smaller one,
     or between one and two, so that the fuller bin gains what the emptier loses. Each step takes
-    the greatest gain that fits into the fuller bin. Bins that get empty go. It ends with as few
-    bins as the total allows, when a pass changes nothing, or after ``passes``.
+    the greatest gain that any fuller bin has room for. Bins that get empty go. It ends with as few
+    bins as the total allows, or when no bin has such a step.
     """
     bins, sizes_of = [list(b) for b in bins], sizes.tolist()
-    fill = [sum(sizes_of[i] for i in b) for b in bins]
-    fewest, left = -(-sum(fill) // capacity), len(bins)
-    for _ in range(passes):
-        if left <= fewest:
-            break
-        order = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))[:width]
+    held = [[sizes_of[i] for i in b] for b in bins]
+    fill = [sum(h) for h in held]
+    fewest, left = -(-sum(fill) // capacity), sum(map(bool, bins))
+    if left <= fewest:
+        return [b for b in bins if b]
+    places = _Open()
+
+    def change(b: int, add: bool) -> None:
+        if bins[b] and fill[b] < capacity:
+            places.change(b, held[b], capacity - fill[b], add)
+
+    def pass_on(giver: int, taker: int, size: int) -> None:
+        k = held[giver].index(size)
+        held[taker].append(held[giver].pop(k))
+        bins[taker].append(bins[giver].pop(k))
+
+    for b in range(len(bins)):
+        change(b, True)
+    changed = True
+    while changed and left > fewest:
         changed = False
-        for donor in order:
-            for taker in order[::-1]:
-                while bins[donor] and donor != taker and fill[donor] <= fill[taker] < capacity:
-                    step = _exchange(bins[donor], bins[taker], sizes_of, capacity - fill[taker])
-                    if step is None:
-                        break
-                    gain, give, back = step
-                    for i in give:
-                        bins[donor].remove(i)
-                        bins[taker].append(i)
-                    for i in back:
-                        bins[taker].remove(i)
-                        bins[donor].append(i)
-                    fill[donor] -= gain
-                    fill[taker] += gain
-                    changed = True
+        for donor in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
+            if fill[donor] == capacity or left <= fewest:
+                continue
+            change(donor, False)
+            while bins[donor] and (step := places.step(held[donor], capacity - fill[donor])):
+                gain, give, back, two, taker = step
+                change(taker, False)
+                back = (_pairs(held[taker])[back] if two else (back,)) if back else ()
+                for size in give:
+                    pass_on(donor, taker, size)
+                for size in back:
+                    pass_on(taker, donor, size)
+                fill[donor] -= gain
+                fill[taker] += gain
+                change(taker, True)
+                changed = True
+            change(donor, True)
             left -= not bins[donor]
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -207,31 +262,37 @@ def _pack_group(capacity: int):
     return pack
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, per_group: int = PIECES_PER_GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, per_group: int = PIECES_PER_GROUP) -> DataFrame:
     """``rows`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Pieces are dealt by hash into groups of about ``per_group``, however many there are, and each
     group is packed in its own task: best fit, then the exchanges. Then the pieces of underfull
-    bins are dealt anew and packed together, ``rounds`` - 1 times, until few bins are left open.
-    Only the length of a piece counts. Full pieces are bins of their own.
+    bins are dealt anew and packed together, until one group remains or a round frees no bin; such
+    a round doesn't count. Only the length of a piece counts. Full pieces are bins of their own.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
-    done, rest, first = [], rows.select(*columns), 0
-    for round_ in range(rounds):
+    done, rest, first, round_ = [], rows.select(*columns), 0, 0
+    before, bins = None, 0
+    while True:
         n = rest.count()
         groups = max(1, -(-n // per_group))
         salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_))
         dealt = rest.withColumn("grp", F.pmod(salt, F.lit(groups)) + first)
         packed = dealt.groupBy("grp").applyInPandas(_pack_group(capacity), kind)
         packed = cut_lineage(packed, "packed")
-        first += groups
-        if round_ + 1 < rounds and groups > 1:
-            done.append(packed.where(F.col("fill") == capacity))
-            rest = packed.where(F.col("fill") < capacity).select(*columns)
-        else:
+        if before is not None and packed.select("sequence_id").distinct().count() >= bins:
+            done.append(before)
+            break
+        if groups == 1:
             done.append(packed)
             break
+        done.append(packed.where(F.col("fill") == capacity))
+        before = packed.where(F.col("fill") < capacity)
+        bins = before.select("sequence_id").distinct().count()
+        rest = before.select(*columns)
+        first += groups
+        round_ += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -179,6 +179,18 @@ def test_many_groups_meet_again(spark):
     assert len(got) == 900 and max(fill.values()) <= 2048 and len(fill) <= 1.08 * -(-sizes.sum() // 2048)
 
 
+def test_local_search_uses_all_bins():
+    sizes = np.random.default_rng(1).integers(500, 1001, 2000)
+    start = P.best_fit(sizes, 2048)
+    bins = P.local_search(start, sizes, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(2000)) and max(sizes[b].sum() for b in bins) <= 2048
+    assert len(bins) <= len(start) - 25  # the 64 emptiest alone free 7
+    sums = [int(sizes[b].sum()) for b in bins]
+    for _ in range(2000):  # no step is left between any two
+        a, b = sorted(np.random.default_rng(_).choice(len(bins), 2, replace=False), key=lambda k: sums[k])
+        assert sums[b] == 2048 or P._exchange(bins[a], bins[b], sizes.tolist(), 2048 - sums[b]) is None
+
+
 def test_local_search_empties_bins():
     squares = lambda bins, s: sum(sum(s[i] for i in b) ** 2 for b in bins)
     for seed in range(20):
