@@ -52,7 +52,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    spans = F.transform(F.array_sort("removed"), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"), r["kept_doc_id"].cast("string")))
+    spans = F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
     n = F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed")
     return found.select("doc_id", "text", n, F.coalesce(F.array_join(spans, " "), F.lit("")).alias("removed"))
 
@@ -96,23 +96,49 @@ hashed AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR),
 SELECT doc_id, slot, shards[slot + 1] AS shard FROM hashed, lookup
 """
 _SUBSTRING = r"""
-WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS k, len(parts) AS n FROM split),
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]|[^ \t\n\r\f\v\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]+|[ \t\n\r\f\v]+') AS parts
+  FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS k FROM split),
 placed AS (
-  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm,
-    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-  FROM lines),
-ranked AS (
-  SELECT *, len(string_split(norm, ' ')) >= 5 AS unit, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) AS rk,
-    first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, pos) AS kept
-  FROM placed),
-marked AS (SELECT *, unit AND rk > 1 AS gone FROM ranked)
-SELECT d.doc_id,
-  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line || CASE WHEN k < n THEN chr(10) ELSE '' END, '' ORDER BY k) FILTER (WHERE NOT gone), '') END AS text,
-  count(*) FILTER (WHERE gone) AS n_removed,
-  coalesce(string_agg(pos || '-' || (pos + length(line)) || '-' || kept, ' ' ORDER BY k) FILTER (WHERE gone), '') AS removed
-FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id
-GROUP BY d.doc_id, d.text
+  SELECT *, CAST(coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos,
+    coalesce(lag(part) OVER (PARTITION BY doc_id ORDER BY k), '') AS gap
+  FROM parts),
+words AS (
+  SELECT doc_id, lower(part) AS word, pos, pos + length(part) AS stop, gap[1] IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)) AND contains(gap, chr(10)) AS breaks,
+    ('0x' || substr(md5(lower(part)), 1, 8))::BIGINT // 2 AS h, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i
+  FROM placed WHERE part[1] NOT IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+texts AS (
+  SELECT doc_id, list(word ORDER BY i) AS ws, list(h ORDER BY i) AS hs, list(pos ORDER BY i) AS starts, list(stop ORDER BY i) AS stops,
+    coalesce(list(i ORDER BY i) FILTER (WHERE breaks AND i > 0), []) AS breaks, count(*) AS n
+  FROM words GROUP BY doc_id HAVING count(*) >= 16),
+gaps AS (SELECT *, list_transform(range(1, n), lambda i: (hs[i] * 48271 + hs[i + 1] * 39373) % 2147483647) AS g FROM texts),
+least AS (SELECT *, list_transform(range(1, len(g) - 10), lambda a: a - 1 + list_position(g[a:a + 11], list_min(g[a:a + 11]))) AS inner_cuts FROM gaps),
+cut AS (SELECT *, list_sort(list_distinct(inner_cuts || breaks || [0, n])) AS cuts FROM least),
+spans AS (
+  SELECT doc_id, ws, list_transform(cuts, lambda c: {'a': c, 'b': list_min(list_filter(cuts, lambda e: e >= c + 16))})
+    || list_transform(breaks || [n], lambda e: {'a': list_max(list_filter(cuts, lambda c: c <= e - 16)), 'b': e}) AS spans
+  FROM cut),
+units AS (SELECT doc_id, ws, unnest(list_distinct(spans)) AS span FROM spans),
+keyed AS (
+  SELECT doc_id, span.a AS a, span.b AS b, md5(array_to_string(ws[span.a + 1:span.b], ' ')) AS digest
+  FROM units WHERE span.a IS NOT NULL AND span.b IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id, a) AS rk FROM keyed),
+gone AS (SELECT doc_id, a, b, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ranked WHERE rk > 1),
+grouped AS (SELECT *, sum(CASE WHEN upto IS NULL OR a > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b) AS run FROM gone),
+runs AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM grouped GROUP BY doc_id, run HAVING max(b) - min(a) >= 30),
+removed AS (
+  SELECT doc_id, a, starts[a + 1] AS pos, stops[b] AS stop,
+    CASE WHEN a > 0 AND (b = n OR list_contains(breaks, b) AND NOT list_contains(breaks, a)) THEN stops[a] ELSE starts[a + 1] END AS cut_from,
+    CASE WHEN a > 0 AND (b = n OR list_contains(breaks, b) AND NOT list_contains(breaks, a)) THEN stops[b] WHEN b = n THEN 1000000000 ELSE starts[b + 1] END AS cut_to
+  FROM runs JOIN texts USING (doc_id)),
+pieces AS (SELECT r.*, text, coalesce(lag(cut_to) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM removed r JOIN documents USING (doc_id)),
+joined AS (
+  SELECT doc_id, string_agg(substr(text, since + 1, cut_from - since), '' ORDER BY a) || substr(any_value(text), max(cut_to) + 1) AS text,
+    count(*) AS n_removed, string_agg(pos || '-' || stop, ' ' ORDER BY a) AS removed
+  FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, coalesce(j.text, d.text) AS text, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN joined j USING (doc_id)
 """
 _WARC = """
 WITH payloads AS (

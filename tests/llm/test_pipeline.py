@@ -44,9 +44,8 @@ def test_each_stage_takes_effect(spark, sf, stages):
     near = lambda d: [e for e in known if e < d and (prints[d] ^ prints[e]).bit_count() <= 3]
     assert set(single) == {d for d in known if not near(d)}
     assert set(cut) <= set(single) and all(r["n_chars"] == len(r["text"]) and r["text"].strip() for r in cut.values())
-    lines = [" ".join(x.lower().split()) for r in cut.values() for x in r["text"].split("\n")]
-    long = [x for x in lines if len(x.split()) >= 5]
-    assert len(long) == len(set(long))
+    held = [{" ".join(w[a : a + 60]) for a in range(len(w) - 59)} for w in (r["text"].lower().split() for r in cut.values())]
+    assert sum(map(len, held)) == len(set().union(*held)), "no passage of 60 words occurs in two documents"
     items = [r["text"] for r in table(spark, sf, "benchmark").collect()]
     words = lambda t: " " + " ".join(__import__("re").findall(r"\w+", t.lower())) + " "
     leaked = {d for d, r in cut.items() if any(words(i) in words(r["text"]) for i in items)}

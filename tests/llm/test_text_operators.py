@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -9,7 +10,8 @@ from orrery.llm import decontamination as DC
 from orrery.llm import language_id as L
 from orrery.llm import lm_scoring as LM
 from orrery.llm.common import table
-from orrery.llm.substring_dedup import PARAGRAPHS, remove_repeats
+from orrery.llm import substring_dedup as SD
+from orrery.llm.substring_dedup import remove_repeats
 
 
 def test_codewords():
@@ -48,51 +50,101 @@ def test_long_texts_count_whole(monkeypatch):
     assert (L.ngram_counts([text, b"abc", b""], 1 << 10) == whole).all() and whole[2].sum() == 0
 
 
-def plain_removal(rows, separator, least):
-    """Keep the first of each normalised unit by (doc_id, start)."""
-    spans = []
-    for doc, text in rows:
-        at = 0
-        for m in [*re.finditer(separator, text), None]:
-            end = m.start() if m else len(text)
-            norm = " ".join(text[at:end].lower().split())
-            if len(norm.split()) >= least:
-                spans.append((norm, doc, at, end))
-            at = m.end() if m else at
-    first, gone = {}, {}
-    for norm, doc, start, end in sorted(spans, key=lambda s: (s[1], s[2])):
-        if norm in first:
-            gone.setdefault(doc, []).append((start, end, first[norm]))
-        else:
-            first[norm] = doc
-    return gone
+def plain_cuts(words, breaks):
+    """Boundaries by their definition, one window at a time."""
+    h = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) // 2 for w in words]
+    gap = [(a * 48271 + b * 39373) % 2147483647 for a, b in zip(h, h[1:])]
+    found = {0, len(words), *breaks}
+    for a in range(len(gap) - SD.WINDOW + 1):
+        own = gap[a : a + SD.WINDOW]
+        found.add(a + own.index(min(own)) + 1)
+    return sorted(found)
+
+
+def plain_removal(rows, separator, unit_words, run_words):
+    """The spans to remove from each (id, text), from a dictionary of whole units."""
+    texts = sorted({(d, t) for d, t in rows if d is not None and t is not None}, key=lambda r: (r[0], text_keys[r[1]]))
+    first, out = set(), {}
+    for doc, text in texts:
+        places = [m.span() for m in re.finditer(r"\S+", text)]
+        words = [text[a:b].lower() for a, b in places]
+        ends = [m.start() for m in re.finditer(separator, text)] + [len(text)]
+        breaks = [sum(b <= e for _, b in places) for e in ends]
+        cuts = plain_cuts(words, breaks) if len(words) >= unit_words else []
+        units = {(c, min((e for e in cuts if e - c >= unit_words), default=None)) for c in cuts}
+        units |= {(max((c for c in cuts if e - c >= unit_words), default=None), e) for e in breaks if cuts}
+        gone = [False] * len(words)
+        for a, b in sorted(u for u in units if None not in u):
+            if tuple(words[a:b]) in first:
+                gone[a:b] = [True] * (b - a)
+            first.add(tuple(words[a:b]))
+        spans, k = [], 0
+        while k < len(words):
+            e = k
+            while e < len(words) and gone[e]:
+                e += 1
+            if e - k >= run_words:
+                spans.append((places[k][0], places[e - 1][1]))
+            k = max(e, k + 1)
+        out[doc, text] = spans
+    return out
+
+
+text_keys: dict = {}
 
 
-@pytest.mark.parametrize("separator", [r"\n", PARAGRAPHS])
-def test_substring_removal(spark, separator):
+@pytest.mark.parametrize("separator,sizes", [(SD.LINES, {}), (SD.PARAGRAPHS, {}), (SD.LINES, {"block_bytes": 300, "bucket_bytes": 500})])
+def test_substring_removal(spark, separator, sizes):
     rng = random.Random(5)
-    lines = [" ".join(rng.choice(["a", "B", "cc", "é", "x y"]) for _ in range(rng.randint(1, 9))) for _ in range(25)]
-    rows = [(i, rng.choice(["\n", "\n\n"]).join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(40)]
-    rows += [(50, ""), (51, "\n\n"), (52, lines[0].upper() + "  \n")]
-    docs = spark.createDataFrame([(d, t, "x") for d, t in rows] + [(60, None, "x"), (None, lines[0], "x")], "doc_id long, text string, removed string")
-    out = remove_repeats(docs, separator, 4).collect()
-    gone = plain_removal(rows, separator, 4)
-    assert len(out) == len(rows) + 2
-    for r in out:
-        text = dict(rows).get(r["doc_id"])
-        if text is None:
-            assert r["text"] == (None if r["doc_id"] == 60 else lines[0]) and r["removed"] is None
-            continue
-        want = gone.get(r["doc_id"], [])
-        assert sorted((x["start"], x["end"], x["kept_doc_id"]) for x in r["removed"] or []) == sorted(want)
-        kept, at = "", 0
-        for start, end, _ in sorted(want):
-            kept += text[at:start]
-            at = end + (text[end : end + 1] == "\n")
-        assert r["text"] == kept + text[at:]
+    words = lambda n: " ".join(rng.choice(["a", "B", "cc", "é", "dd", "Ee", "f"]) + rng.choice(["", "x", "Y", "zz", "."]) for _ in range(n))
+    passages = [words(rng.randint(5, 60)).replace(" ", rng.choice([" ", "\n", " \t "]), 3) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice([words(rng.randint(0, 30)), rng.choice(passages)]) for _ in range(rng.randint(1, 6))]
+        rows.append((i // 2 if i % 5 == 0 else i, rng.choice(["\n", "\n\n", " "]).join(parts)))
+    rows += [(70, ""), (71, "\n\n"), (72, passages[0].upper() + "  \n"), (73, "again " * 200), (74, " \n" + passages[1] + "\n" + words(3)), rows[7], rows[7]]
+    docs = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in rows] + [(80, None, "x", 1, 2), (None, passages[0], "x", 1, 2)], "doc_id long, text string, removed string, first int, text_key int")
+    text_keys.update({r["t"]: r["k"] for r in docs.selectExpr("text t", "xxhash64(text) k").collect()})
+    out = remove_repeats(docs, separator, 8, 12, keep=("first", "text_key"), **sizes).collect()
+    want = plain_removal(rows, separator, 8, 12)
+    left = Counter()
+    for (doc, text), spans in want.items():
+        left[doc, SD.without(text, spans), tuple(spans)] += rows.count((doc, text))
+    left[80, None, ()] += 1
+    left[None, passages[0], ()] += 1
+    assert Counter((r["doc_id"], r["text"], tuple((x["start"], x["end"]) for x in r["removed"] or [])) for r in out) == left
+    assert sum(bool(s) for s in want.values()) > 10 and out[0].asDict().keys() == {"doc_id", "text", "removed", "first", "text_key"}
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_are_cut_by_their_own_units(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, same), (2, same + "\ny"), (2, "ABCDEFGHIJKLMNOPQRSTUVWXYZ wholly different text")]
+    got = {(r["doc_id"], r["text"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[0], (2, "y"), rows[2]}
+
+
+def test_long_passages_go_wherever_they_begin_and_clean_texts_stay(spark, sf):
+    docs = table(spark, sf.replace("0.001", "0.01"), "documents")
+    n, seen, covered, copies, texts = 50, set(), {}, set(), set()
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    for doc, text in rows:
+        words = text.lower().split()
+        held = [" ".join(words[a : a + n]) for a in range(len(words) - n + 1)]
+        covered[doc] = 0
+        for h in held:
+            covered[doc] += h in seen
+            seen.add(h)
+        if " ".join(words) in texts:
+            copies.add(doc)
+        texts.add(" ".join(words))
+    removed = {r["doc_id"]: r["removed"] for r in remove_repeats(docs).collect()}
+    holds = [d for d, c in covered.items() if c and d not in copies]
+    clean = [d for d, c in covered.items() if not c and d not in copies]
+    assert len(holds) > 50 and all(removed[d] for d in holds)
+    assert sum(not removed[d] for d in clean) >= 0.97 * len(clean)
+
+
 def plain_leaks(docs, items):
     found = set()
     for doc, text in docs:
