@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,16 +83,15 @@ class Units:
         n = sum(map(len, lines))
         if n < self.unit_words:
             return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        words = np.fromiter((self.hashes[w] for line in lines for w in line), dtype=np.uint64, count=n)
+        words = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(lines)), dtype=np.uint64, count=n)
         ends = np.cumsum([len(line) for line in lines])
         cuts = boundaries(words, ends)
         to = np.searchsorted(cuts, cuts + self.unit_words)
         forward = to < len(cuts)
         back = np.searchsorted(cuts, ends - self.unit_words, "right") - 1
-        spans = np.concatenate((
-            np.stack((cuts[forward], cuts[to[forward]])), np.stack((cuts[back[back >= 0]], ends[back >= 0])),
-        ), axis=1)
-        first, last = np.unique(spans, axis=1)
+        spans = np.concatenate(((cuts[forward] << 32) | cuts[to[forward]], (cuts[back[back >= 0]] << 32) | ends[back >= 0]))
+        spans = np.unique(spans)
+        first, last = spans >> 32, spans & 0xFFFFFFFF
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(words * self.up.upto(n), out=sums[1:])
         digests = (sums[last] - sums[first]) * self.down.upto(n)[first] + (last - first).astype(np.uint64)
@@ -127,7 +127,7 @@ def _ask(separator: str, unit_words: int, block_bytes: int, buckets: int):
         if not new.all():
             rest = ~new
             used, own = np.unique(row[rest], return_inverse=True)
-            rows.append(_asked(-1 - int(doc[0]) % buckets, digest[:0], own, first[rest], last[rest], doc[used], key[used]))
+            rows.append(_asked(-1 - int(key[0]) % buckets, digest[:0], own, first[rest], last[rest], doc[used], key[used]))
         digest, row, first, last = digest[new], row[new], first[new], last[new]
         bucket = (digest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(bucket)]
@@ -208,7 +208,7 @@ def repeated_units(docs: DataFrame, separator: str = LINES, unit_words: int = UN
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     asked = rows.mapInArrow(_ask(separator, unit_words, block_bytes, buckets), _ASKED)
-    asked = asked.repartition("bucket").sortWithinPartitions("bucket")
+    asked = asked.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket")
     return asked.mapInArrow(_answer, _TOLD)
 
 
