@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,10 +10,11 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from orrery.llm import html_extraction as HE
 from orrery.llm import packing as P
 from orrery.llm import sharding as S
 from orrery.llm import warc
-from orrery.llm.html_extraction import extract, main_text
+from orrery.llm.html_extraction import Page, extract, main_text
 from orrery.llm.queries import tokenizer_path
 
 
@@ -235,6 +237,51 @@ def test_main_text_keeps_all_content():
     assert main_text(flat) == f"Title {long}{long}{long}End"
 
 
+LONG = " ".join(["Long words, and more of them; they go on."] * 10)
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><div>Welcome to our site</div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>Short end.</p><div>All rights reserved.</div></body>", f"Title {LONG} {LONG} Short end."),
+    (f"<div>Hello</div><div><h2>Title</h2><p>{LONG}<p>{LONG}<ul><li>Item<li>Item</ul></div><div><ul><li><a href=x>One, two.</a><li>Three</ul></div>", f"Title {LONG} {LONG} Item Item"),
+    (f"<div><div><p>{LONG}</p></div><figure><figcaption>A caption.</figcaption></figure><div><p>{LONG}</p></div></div><div>Imprint</div>", f"{LONG} A caption. {LONG}"),
+    (f"<nav>Menu</nav><article><h1>T</h1><section id=related-work><p>{LONG}</p><p>Short.</p></section><h2 id=search-methods>Search methods</h2><p class=legal>Legal words.</p><div class=ad>Buy now!</div><p>{LONG}</p></article>", f"T {LONG} Short. Search methods Legal words. {LONG}"),
+    (f"<div class=menu><p>{LONG}</p><p>{LONG}</p></div><div><em>Few</em> words</div>", f"{LONG} {LONG}"),
+])
+def test_ratios_choose_the_article(page, want):
+    assert main_text(page) == want
+
+
+def test_without_ratios_other_text_is_taken(spark, sf, monkeypatch):
+    html = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    with_ratios = [main_text(h) for h in html]
+    monkeypatch.setattr(HE, "path_scores", lambda page: np.ones(len(page.texts)))
+    assert not any(a == main_text(h) for a, h in zip(with_ratios, html))
+
+
+def test_ratios_by_definition():
+    rng = random.Random(3)
+    for _ in range(40):
+        blocks = [(rng.choice(["div", "div.p", "ul.li", "section.div.p"]), "a" * rng.randint(1, 90) + rng.choice(["", ".", ", x.", "!?,"])) for _ in range(rng.randint(1, 25))]
+        page = Page("".join("".join(f"<{n}>" for n in p.split(".")) + t + "".join(f"</{n}>" for n in reversed(p.split("."))) for p, t in blocks))
+        assert page.texts == [t for _, t in blocks]
+        fused = [0.0] * len(blocks)
+        for amount in (len, lambda t: sum(c in ".,!?" for c in t)):
+            ratio = [math.sqrt(np.mean([amount(u) for q, u in blocks if q == p])) for p, _ in blocks]
+            if len(blocks) > 4:
+                near = [[(math.exp(-((i - j) ** 2) / 2), ratio[j]) for j in range(len(ratio)) if abs(i - j) < 3] for i in range(len(ratio))]
+                ratio = [min(r, sum(w * x for w, x in n) / sum(w for w, _ in n)) for r, n in zip(ratio, near)]
+            fused = [f + r / max(max(ratio), 1e-9) / 2 for f, r in zip(fused, ratio)]
+        want = [np.mean([f for (q, _), f in zip(blocks, fused) if q == p]) for p, _ in blocks]
+        assert np.allclose(HE.path_scores(page), want)
+
+
+def test_deep_pages_cost_as_much_as_they_are_long():
+    deep = Page("<div>x, y. " * 50_000)
+    assert len(deep.names) == len(deep.texts) == 50_000 and max(deep.path) == 49_999
+    assert main_text("<div>x, y. " * 50_000).count("x") == 50_000
+    assert main_text("<div>" * 50_000 + "</p>" * 50_000 + "a, b.") == "a, b."
+
+
 def test_odd_pages(spark):
     assert main_text("<p>one, two.<p>three, <i>four</i>.") == "one, two. three, four."
     assert main_text("no tags, but text") == "no tags, but text"
