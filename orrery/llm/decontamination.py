@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits in which the fingerprints of an item and a window of that similarity may differ.
 RADIUS = 23
-BLOCKS, BLOCK_BITS = 4, 16
-#: Words of benchmark text that one pass over the documents holds in each task.
-WORDS_PER_PASS = 1_000_000
+BLOCKS, BLOCK_BITS = 8, 8
+#: Of RADIUS differing bits, one block has no more than this.
+NEAR = RADIUS // BLOCKS
+#: Bytes of benchmark text that one pass over the documents holds in each task.
+BYTES_PER_PASS = 8 << 20
 _FILTER_BITS = 22
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,75 +86,81 @@ def indexes(items: list[tuple[int, str]], cache: _Words) -> list[BenchmarkIndex]
 
 
 class BenchmarkIndex:
-    """A bounded block of benchmark items: their shingles, fingerprints and Hamming blocks.
+    """A bounded part of the benchmark: fingerprints in Hamming blocks, and the shingles of its items.
 
-    The blocks index each item under every value of each 16-bit block that is within
-    RADIUS // BLOCKS bits of its own. Fingerprints within RADIUS differ by no more than that in one
-    block at least, so that a look-up of a window's own four block values finds every such item.
+    Items of one number of shingles are a width, and windows of that width look them up: an item lies
+    under every value of each 8-bit block that differs from its own in NEAR bits or fewer. Fingerprints
+    that differ in RADIUS bits or fewer do so in one block at least, so that a look-up of a window's
+    BLOCKS values finds every such item.
     """
 
     def __init__(self, items: list[tuple[int, np.ndarray]], shingle: int):
         """items: (id, word hashes), all of ``shingle`` words or more."""
         self.shingle = shingle
-        self.ids, self.shingles, self.widths, prints = [], [], [], []
-        for item, words in items:
-            hashes = shingle_hashes(words, shingle)
-            self.ids.append(item)
-            self.shingles.append(hashes)
-            self.widths.append(len(hashes))
-            prints.append(window_prints(hashes, len(hashes))[0])
-        self.prints = np.array(prints, dtype=np.uint64)
-        self.of_shingle: dict[int, list[int]] = defaultdict(list)
+        self.ids = [item for item, _ in items]
+        self.shingles = [shingle_hashes(words, shingle) for _, words in items]
+        self.prints = np.array([window_prints(h, len(h))[0] for h in self.shingles], dtype=np.uint64)
+        lengths = np.array([len(h) for h in self.shingles])
+        self.widths, self.width_of = np.unique(lengths, return_inverse=True)
+        near = np.array([sum(1 << i for i in c) for r in range(NEAR + 1) for c in combinations(range(BLOCK_BITS), r)])
+        own = block_values(self.prints)[:, :, None] ^ near
+        bucket = (self.width_of[:, None, None] * BLOCKS + np.arange(BLOCKS)[:, None]) * (1 << BLOCK_BITS) + own
+        order = np.argsort(bucket.ravel(), kind="stable")
+        self.members = np.repeat(np.arange(len(items)), BLOCKS * len(near))[order]
+        self.bounds = np.searchsorted(bucket.ravel()[order], np.arange(len(self.widths) * BLOCKS * (1 << BLOCK_BITS) + 1))
+        # which widths have an item with a shingle
+        pairs = np.unique(np.stack((np.concatenate(self.shingles), np.repeat(self.width_of, lengths).astype(np.uint64))), axis=1)
+        self.known, first = np.unique(pairs[0], return_index=True)
+        self.known_width, self.known_bounds = pairs[1].astype(np.int64), np.append(first, pairs.shape[1])
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        for k, hashes in enumerate(self.shingles):
-            for h in set(hashes.tolist()):
-                self.of_shingle[h].append(k)
-            self.filter[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-        self._near = np.array(
-            [sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r)],
-            dtype=np.uint16,
-        )
-
-    def block_table(self, item: int) -> np.ndarray:
-        """(blocks x 2^16) flags of the block values that lead to this item."""
-        flags = np.zeros((BLOCKS, 1 << BLOCK_BITS), dtype=bool)
-        for b in range(BLOCKS):
-            own = np.uint16((int(self.prints[item]) >> (b * BLOCK_BITS)) & 0xFFFF)
-            flags[b, self._near ^ own] = True
-        return flags
-
-    def matches(self, words: np.ndarray, tables: dict[int, np.ndarray]) -> list[tuple[int, int, int, float, int]]:
+        self.filter[self.known >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def candidates(self, prints: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item), sorted: what shares a bucket of a block, for fingerprints of windows of the
+        ``width``-th width."""
+        bucket = (width * BLOCKS + np.arange(BLOCKS)) * (1 << BLOCK_BITS) + block_values(prints)
+        low, count = self.bounds[bucket].ravel(), (self.bounds[bucket + 1] - self.bounds[bucket]).ravel()
+        window = np.repeat(np.arange(len(prints)).repeat(BLOCKS), count)
+        item = self.members[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        found = np.unique(window * len(self.ids) + item)
+        return found // len(self.ids), found % len(self.ids)
+
+    def places(self, hashes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """For each width the places of shingles that an item of that width has."""
+        near = np.nonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])[0]
+        k = np.searchsorted(self.known, hashes[near])
+        k[k == len(self.known)] = 0
+        same = self.known[k] == hashes[near]
+        at: dict[int, list[int]] = defaultdict(list)
+        for p, i in zip(near[same].tolist(), k[same].tolist()):
+            for w in self.known_width[self.known_bounds[i] : self.known_bounds[i + 1]].tolist():
+                at[w].append(p)
+        yield from at.items()
+
+    def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """(item, first word, words, similarity, differing bits) of the best window for each item
-        that has a window of SIMILARITY or more. Such a window shares a shingle with the item, so
-        only windows that hold a shared shingle are fingerprinted: for each item, all of its size."""
+        that has a window of SIMILARITY or more. A window so similar to an item shares a shingle with it. So of
+        each width only the windows with a shingle of an item of that width are fingerprinted, which
+        loses nothing; which items a window may match, the blocks alone say."""
         hashes = shingle_hashes(words, self.shingle)
-        near = np.nonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])[0]
-        places: dict[int, list[int]] = defaultdict(list)
-        for p in near.tolist():
-            for k in self.of_shingle.get(int(hashes[p]), ()):
-                places[k].append(p)
-        found = []
-        for k, at in places.items():
-            width = min(self.widths[k], len(hashes))
-            item = self.shingles[k]
-            best = None
+        best: dict[int, tuple[float, int, int, int]] = {}
+        for w, at in self.places(hashes):
+            width = min(int(self.widths[w]), len(hashes))
             for low, high in _runs(at, width, len(hashes)):
                 prints = window_prints(hashes[low:high], width)
-                if k not in tables:
-                    if len(tables) >= 256:
-                        tables.clear()
-                    tables[k] = self.block_table(k)
-                candidate = np.zeros(len(prints), dtype=bool)
-                for b in range(BLOCKS):
-                    candidate |= tables[k][b, (prints >> np.uint64(b * BLOCK_BITS)).astype(np.uint16)]
-                bits = np.bitwise_count(prints ^ self.prints[k])
-                for s in np.nonzero(candidate & (bits <= RADIUS))[0].tolist():
-                    alike = weighted_similarity(hashes[low + s : low + s + width], item)
-                    if alike >= SIMILARITY and (best is None or alike > best[0]):
-                        best = (alike, low + s, int(bits[s]))
-            if best:
-                found.append((self.ids[k], best[1], width + self.shingle - 1, best[0], best[2]))
-        return found
+                window, item = self.candidates(prints, w)
+                bits = np.bitwise_count(prints[window] ^ self.prints[item])
+                close = bits <= RADIUS
+                for s, k, n in zip(window[close].tolist(), item[close].tolist(), bits[close].tolist()):
+                    alike = weighted_similarity(hashes[low + s : low + s + width], self.shingles[k])
+                    if alike >= SIMILARITY and (k not in best or alike > best[k][0]):
+                        best[k] = (alike, low + s, width, n)
+        return [(self.ids[k], first, width + self.shingle - 1, alike, n) for k, (alike, first, width, n) in sorted(best.items())]
+
+
+def block_values(prints: np.ndarray) -> np.ndarray:
+    """The BLOCKS values of each fingerprint."""
+    return (prints[:, None] >> np.arange(0, 64, BLOCK_BITS).astype(np.uint64)).astype(np.int64) & ((1 << BLOCK_BITS) - 1)
 
 
 def _runs(at: list[int], width: int, n: int) -> Iterator[tuple[int, int]]:
@@ -170,17 +178,16 @@ def _runs(at: list[int], width: int, n: int) -> Iterator[tuple[int, int]]:
         yield low, high
 
 
-def _passes(benchmark: DataFrame, words: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of a bounded number of words, each read on its own."""
-    size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
-    blocks = -(-total // words)
+def _passes(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items in blocks of about ``most`` bytes of text, each read on its own."""
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // most)
     for block in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else benchmark
+        yield [(r["item_id"], r["text"]) for r in part.distinct().toLocalIterator()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity, hamming): for each document and each
     benchmark item (item_id, text) that it holds, the best matching window.
 
@@ -188,16 +195,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     fewer words is one shingle); it
     matches at a weighted shingle similarity of 0.8 or more. All windows of the whole text compete;
     the first of equals wins. The benchmark is the query set: it is read in blocks of
-    ``words_per_pass`` words, each in every task of one pass over the documents, so that what a
+    ``bytes_per_pass`` bytes of text, each in every task of one pass over the documents, so that what a
     task holds is bounded however large the benchmark is.
-    Null and empty texts and items match nothing; repeated rows give repeated results.
+    Null and empty texts and items match nothing. Repeated documents give repeated results; repeated items
+    count once, and items that share an id but not their text each give their own.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     kind = "doc_id long, item_id long, first_word int, n_words int, similarity double, hamming int"
     out = None
-    for block in _passes(items, words_per_pass):
+    for block in _passes(items, bytes_per_pass):
         index = spark.sparkContext.broadcast(block)
         part = rows.mapInArrow(_scanner(index), kind)
         out = part if out is None else out.unionByName(part)
@@ -209,12 +217,12 @@ class _Scan:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.cache = _Words()
-        self.indexes = [(index, {}) for index in indexes(items, self.cache)]
+        self.indexes = indexes(items, self.cache)
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
         words = words_of(text or "")
         hashes = np.array(list(map(self.cache.__getitem__, words)), dtype=np.uint64)
-        return [m for index, tables in self.indexes for m in index.matches(hashes, tables)] if words else []
+        return [m for index in self.indexes for m in index.matches(hashes)] if words else []
 
 
 def _scanner(block):
@@ -246,6 +254,6 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
 
         return scan
 
-    for block in _passes(items, WORDS_PER_PASS):
+    for block in _passes(items, BYTES_PER_PASS):
         docs = docs.mapInArrow(kept(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
     return docs

@@ -191,7 +191,7 @@ def test_leaks(spark):
     want = plain_leaks(docs, items)
     assert got <= want and {x for x in want if x[1] >= 90} <= got
     assert len(want - got) <= 0.02 * len(want), "windows of 0.8 similarity whose fingerprints are further apart than the radius"
-    blocks = {(r["doc_id"], r["item_id"]) for r in DC.find_leaks(table, bench, words_per_pass=300).collect()}
+    blocks = {(r["doc_id"], r["item_id"]) for r in DC.find_leaks(table, bench, bytes_per_pass=2000).collect()}
     assert blocks == got
     kept = [(r["doc_id"], r["text"]) for r in DC.remove_leaks(table, bench).collect()]
     held = [any((d, i) in got for i, _ in items) and bool(plain_leaks([(d, t)], items)) for d, t in docs]
@@ -201,12 +201,35 @@ def test_leaks(spark):
 
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(7)
-    index = DC.BenchmarkIndex([(0, rng.integers(0, 1 << 63, 40).astype(np.uint64))], 5)
-    flags = index.block_table(0)
+    items = [(i, rng.integers(0, 1 << 63, 40 + i % 3).astype(np.uint64)) for i in range(30)]
+    index = DC.BenchmarkIndex(items, 5)
     for _ in range(2000):
+        k = int(rng.integers(30))
         bits = rng.choice(64, rng.integers(0, DC.RADIUS + 1), replace=False)
-        other = int(index.prints[0]) ^ sum(1 << int(b) for b in bits)
-        assert any(flags[b, (other >> (16 * b)) & 0xFFFF] for b in range(DC.BLOCKS))
+        other = index.prints[k : k + 1] ^ np.uint64(sum(1 << int(b) for b in bits))
+        assert k in index.candidates(other, int(index.width_of[k]))[1]
+    assert DC.NEAR * DC.BLOCKS + DC.BLOCKS > DC.RADIUS
+
+
+def test_blocks_alone_name_the_items(spark, sf, monkeypatch):
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    index = DC.indexes([(r["item_id"], r["text"]) for r in bench.collect()], DC._Words())
+    cache, texts = DC._Words(), [r["text"] for r in docs.collect()]
+    hashes = [np.array([cache[w] for w in DC.words_of(t)], dtype=np.uint64) for t in texts]
+    found = [i.matches(h) for h in hashes for i in index]
+    assert sum(map(bool, found)) > 2
+    none = np.zeros(0, dtype=np.int64)
+    monkeypatch.setattr(DC.BenchmarkIndex, "candidates", lambda self, prints, width: (none, none))
+    assert not any(i.matches(h) for h in hashes for i in index)
+
+
+def test_equal_item_ids_and_repeated_items(spark):
+    one, two = ("alpha beta gamma delta epsilon zeta eta theta".split(), "one two three four five six seven eight".split())
+    bench = spark.createDataFrame([(1, " ".join(one)), (1, " ".join(two)), (1, " ".join(two)), (1, "-".join(two))], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "xx " + ", ".join(two) + " yy"), (8, "-".join(one))], "doc_id long, text string")
+    for size in (1 << 20, 20):
+        got = sorted((r["doc_id"], r["item_id"]) for r in DC.find_leaks(docs, bench, bytes_per_pass=size).collect())
+        assert got == [(7, 1), (7, 1), (8, 1)]
 
 
 def plain_losses(docs, target, size, cells):
