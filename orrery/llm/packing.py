@@ -86,12 +86,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of indices: the largest first, each into the fullest bin that has room."""
+    """Bins of indices: each in turn into the fullest bin that has room. A start for local_search()."""
     bins: list[list[int]] = []
     room: list[int] = []  # distinct rooms, sorted
     at: dict[int, list[int]] = {}  # the bins of each room
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
+    for i, size in enumerate(sizes.tolist()):
         k = bisect_left(room, size)
         if k < len(room):
             left = room[k]
@@ -206,42 +205,6 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
     return [b for b in bins if b]
 
 
-def _exchange(donor: list[int], taker: list[int], sizes: list[int], room: int):
-    """(gain, given, given back) of the greatest gain of at most ``room``; None if there is none."""
-    best = None
-    own = sorted((sizes[j], j) for j in taker)
-    for i in donor:
-        size = sizes[i]
-        if size <= room and (best is None or size > best[0]):
-            best = (size, [i], [])
-    for i in donor:
-        size = sizes[i]
-        k = bisect_left(own, (size - room, -1))  # the smallest of the taker that makes room
-        if k < len(own) and 0 < size - own[k][0] <= room and (best is None or size - own[k][0] > best[0]):
-            best = (size - own[k][0], [i], [own[k][1]])
-        low, high = 0, len(own) - 1  # two of the taker for one of the donor
-        while low < high:
-            gain = size - own[low][0] - own[high][0]
-            if gain > room:
-                low += 1
-            else:
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, [i], [own[low][1], own[high][1]])
-                high -= 1
-    given = sorted((sizes[i], i) for i in donor)
-    for size, j in own:  # two of the donor for one of the taker
-        low, high = 0, len(given) - 1
-        while low < high:
-            gain = given[low][0] + given[high][0] - size
-            if gain > room:
-                high -= 1
-            else:
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, [given[low][1], given[high][1]], [j])
-                low += 1
-    return best
-
-
 def _pack_group(capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece", "start", "length"], kind="stable").reset_index(drop=True)
@@ -265,8 +228,9 @@ def _pack_group(capacity: int):
 def pack(rows: DataFrame, capacity: int = CAPACITY, per_group: int = PIECES_PER_GROUP) -> DataFrame:
     """``rows`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Pieces are dealt by hash into groups of about ``per_group``, however many there are, and each
-    group is packed in its own task: best fit, then the exchanges. Then the pieces of underfull
+    Pieces are dealt by hash into groups of about ``per_group``, however many there are (repeated rows by
+    their place in ``rows``, which must be a written table), and each
+    group is packed in its own task: best fit in the order given, then the exchanges. Then the pieces of underfull
     bins are dealt anew and packed together, until one group remains or a round frees no bin; such
     a round doesn't count. Only the length of a piece counts. Full pieces are bins of their own.
     """
@@ -277,7 +241,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_group: int = PIECES_PER_
     while True:
         n = rest.count()
         groups = max(1, -(-n // per_group))
-        salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_))
+        salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(round_))
         dealt = rest.withColumn("grp", F.pmod(salt, F.lit(groups)) + first)
         packed = dealt.groupBy("grp").applyInPandas(_pack_group(capacity), kind)
         packed = cut_lineage(packed, "packed")
