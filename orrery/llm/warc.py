@@ -6,6 +6,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -18,7 +19,8 @@ from .common import cut_lineage
 #: Payload bytes from which equal payloads are written once.
 REVISIT_BYTES = 100
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
-_CELLS_PER_SHARD = 16
+#: Shards at most (beyond that they grow), and sampled rows for each from which their bounds are taken.
+MOST_SHARDS, SAMPLES_PER_SHARD = 16_384, 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _IDS = uuid.uuid5(uuid.NAMESPACE_URL, "urn:orrery:warc")
 _MANIFEST = "shard int, roll int, temporary string, name string, bytes long, records long, sha256 string"
@@ -41,22 +43,27 @@ def _clean(value: str) -> str:
     return " ".join(value.split("\n")).replace("\r", " ").strip()
 
 
-def page_record(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A response record, or a revisit of the response of page ``refers_to``."""
+def _record_id(page_id: int | None, url: str | None, digest: str, copy: int) -> str:
+    """Of the ``copy``-th of equal rows."""
+    return f"<urn:uuid:{uuid.uuid5(_IDS, json.dumps([page_id, url, digest, copy]))}>"
+
+
+def page_record(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, str | None] | None, date: str) -> bytes:
+    """A response record, or a revisit of the response of the first row of (page_id, url) ``refers_to``."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     kind = "response" if refers_to is None else "revisit"
     headers = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_IDS, f'{page_id}:{copy}')}>"),
+        ("WARC-Record-ID", _record_id(page_id, url, digest, copy)),
         ("WARC-Date", date),
         ("WARC-Target-URI", _clean(url) if url else None),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Profile", _PROFILE if refers_to is not None else None),
-        ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(_IDS, f'{refers_to}:0')}>" if refers_to is not None else None),
+        ("WARC-Refers-To", _record_id(*refers_to, digest, 0) if refers_to is not None else None),
         ("X-Page-ID", None if page_id is None else str(page_id)),
-        ("X-Refers-To-Page-ID", None if refers_to is None else str(refers_to)),
+        ("X-Refers-To-Page-ID", None if refers_to is None else str(refers_to[0])),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     return _record(headers, block)
@@ -105,6 +112,73 @@ def _manifest_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _writer(base: str, roll_bytes: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by shard, page, url, digest and kind. A row without a page (kind 0) comes before the
+        pages it is about and names the page that holds the response of their payload."""
+        roll, now, first, copy = None, None, None, 0
+        for batch in batches:
+            for row in zip(*batch.columns):
+                shard, page_id, url, digest, kind, first_id, first_url = (x.as_py() for x in row[:7])
+                if (page_id, url, digest) != now:
+                    now, first, copy = (page_id, url, digest), None, 0
+                if kind == 0:
+                    first = first_id, first_url
+                    continue
+                if roll is None or roll.shard != shard or roll.bytes >= roll_bytes:
+                    number = roll.roll + 1 if roll is not None and roll.shard == shard else 0
+                    if roll is not None:
+                        yield _manifest_batch([roll.close()])
+                    roll = _Roll(base, shard, number, date)
+                refers_to = None if copy == 0 and first == (page_id, url) else first
+                roll.add(page_record(page_id, copy, url, row[7].as_py() or b"", digest, refers_to, date))
+                copy += 1
+        if roll is not None:
+            yield _manifest_batch([roll.close()])
+
+    return write
+
+
+def _order(page_id: int | None, url: str | None, digest: str) -> tuple:
+    """Spark's order of the three: nulls first."""
+    return page_id is not None, page_id or 0, url is not None, url or "", digest
+
+
+def _bounds(keys: DataFrame, shard_bytes: int) -> list[tuple]:
+    """The first key of each shard but the first: (page_id, url, digest) by ``_order``.
+
+    Quantiles, by payload bytes, of the rows whose hash falls below a share that gives about SAMPLES_PER_SHARD
+    rows a shard (all rows of a small table), so that they depend on the rows alone, not on how these are
+    dealt or spaced. Equal rows are one; rows of one page_id may lie in several shards.
+    """
+    total, rows = keys.agg(F.sum("n"), F.count("*")).first()
+    shards = min(MOST_SHARDS, -(-(total or 0) // shard_bytes))
+    if shards < 2:
+        return []
+    share = max(1, rows // (shards * SAMPLES_PER_SHARD))
+    sample = keys.where(F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(share)) == 0)
+    sample = sample.groupBy("page_id", "url", "digest").agg(F.sum("n").alias("n")).collect()
+    sample = sorted((_order(r["page_id"], r["url"], r["digest"]), r["n"]) for r in sample)
+    found, before, last, whole = [], 0, 0, max(1, sum(n for _, n in sample))
+    for key, n in sample:
+        if before * shards // whole > last:
+            found.append(key)
+            last = before * shards // whole
+        before += n
+    return found
+
+
+def _place(bounds: list[tuple]):
+    """Adds the shard, as the first column, to rows that begin with page_id, url and digest."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            shard = pa.array([bisect_right(bounds, _order(*k)) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([shard, *batch.columns], names=["shard", *batch.schema.names])
+
+    return place
+
+
+def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by shard, page, kind, url and digest. Rows without a page (kind 0) come before those
         of the same page id and tell which page holds the response of a payload."""
         roll, page, first, seen, copy = None, object(), {}, set(), 0
@@ -161,34 +235,38 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return the manifest: (shard, roll, name, bytes, records, sha256) of each file.
 
     The payload is the html in UTF-8 (null: empty). Records are range-partitioned and sorted by
-    page_id, then url and digest, so that equal tables give equal files, byte for byte. A shard's
-    next file begins once the compressed size of the last has reached ``roll_bytes``. Of equal
-    payloads of REVISIT_BYTES or more, the one with the smallest page_id is a response (the first of
-    repeated rows), the others are revisits; rows without a page_id are responses. Tasks write under
-    temporary names and report them; only the files that a finished attempt has reported are renamed,
-    and MANIFEST.json, which comes last, names them: a folder without it isn't an archive.
+    page_id, then url and digest, so that equal tables give equal files, byte for byte; a shard has about
+    ``shard_bytes`` of payload. A shard's next file begins once the compressed size of the last has reached ``roll_bytes``.
+    Of equal payloads of REVISIT_BYTES or more, the one with the smallest page_id is a response (then the
+    smallest url, then the first of repeated rows), the others are revisits; rows without a page_id are responses. Tasks
+    write under temporary names and report them; only the files that a finished attempt has reported
+    are renamed. The table ``manifest`` in the folder names them, and MANIFEST.json, with the
+    totals, comes last: a folder without it isn't an archive.
     """
     spark = pages.sparkSession
     stamp = date.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
-        F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"),
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"),
     )
-    base, shards = _shards(base, shard_bytes)
-    small = base.where(f"n >= {REVISIT_BYTES} and page_id is not null").select("shard", "page_id", "digest")
-    first = small.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    told = small.join(first.select("digest", "first_id"), "digest").distinct()
+    keys = cut_lineage(base.select("page_id", "url", "digest", F.octet_length("payload").alias("n")), "warc-keys")
+    bounds = _bounds(keys, shard_bytes)
+    large = keys.where(f"n >= {REVISIT_BYTES} and page_id is not null")
+    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies"))
+    first = first.where("copies > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    first = cut_lineage(first, "warc-first")  # a side of its own, or the join couldn't be split on a hot payload
+    told = large.select("page_id", "url", "digest").join(first, "digest").distinct()
     null = lambda kind: F.lit(None).cast(kind)
-    rows = told.select("shard", "page_id", F.lit(0).alias("kind"), null("string").alias("url"), "digest", "first_id", null("binary").alias("payload"))
-    rows = rows.unionByName(base.select("shard", "page_id", F.lit(1).alias("kind"), "url", "digest", null("long").alias("first_id"), "payload"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "digest")
+    rows = told.select("page_id", "url", "digest", F.lit(0).alias("kind"), "first_id", "first_url", null("binary").alias("payload"))
+    rows = rows.unionByName(base.select("page_id", "url", "digest", F.lit(1).alias("kind"), null("long").alias("first_id"), null("string").alias("first_url"), "payload"))
+    rows = rows.mapInArrow(_place(bounds), "shard int, page_id long, url string, digest string, kind int, first_id long, first_url string, payload binary")
+    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "digest", "kind")
     written = cut_lineage(rows.mapInArrow(_writer(folder, roll_bytes, stamp), _MANIFEST), "warc-manifest")
-    _commit(written, folder)
+    _commit(written, folder, len(bounds) + 1)
     return written.drop("temporary")
 
 
-def _commit(written: DataFrame, folder: str) -> None:
+def _commit(written: DataFrame, folder: str, shards: int) -> None:
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -202,13 +280,14 @@ def _commit(written: DataFrame, folder: str) -> None:
     from pyarrow import fs
 
     moved = written.select("temporary", "name").mapInArrow(rename, "name string").count()
-    files = [r.asDict() for r in written.drop("temporary").orderBy("name").collect()]
-    if moved != len(files):
+    files, size, records = written.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("records"), F.lit(0))).first()
+    if moved != files:
         raise RuntimeError("files are missing")
+    written.drop("temporary").write.mode("overwrite").parquet(f"{folder}/manifest")
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/MANIFEST.json.tmp", compression=None) as out:
-        out.write(json.dumps({"files": files}, indent=1, sort_keys=True).encode())
+        out.write(json.dumps({"shards": shards, "files": files, "bytes": size, "records": records}, sort_keys=True).encode())
     system.move(f"{path}/MANIFEST.json.tmp", f"{path}/MANIFEST.json")
     if system.get_file_info(f"{path}/_temporary").type != fs.FileType.NotFound:
         system.delete_dir(f"{path}/_temporary")
@@ -273,7 +352,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     system, path = fs.FileSystem.from_uri(folder)
     with system.open_input_stream(f"{path}/MANIFEST.json", compression=None) as file:
-        names = [(f["name"], f["records"]) for f in json.loads(file.read())["files"]]
+        totals = json.loads(file.read())
+    files = spark.read.parquet(f"{folder}/manifest").select("name", "records", "shard")
+    if files.count() != totals["files"]:
+        raise ValueError("the manifest isn't whole")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     columns = [x.split()[0] for x in _RECORDS.split(", ")]
 
@@ -293,5 +375,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], names=columns)
 
-    files = spark.createDataFrame(names, "name string, records long")
-    return files.repartition(max(1, len(names))).mapInArrow(rows, _RECORDS)
+    return files.repartitionById(totals["shards"], "shard").sortWithinPartitions("name").mapInArrow(rows, _RECORDS)

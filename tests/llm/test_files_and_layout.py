@@ -117,6 +117,39 @@ def test_archives_are_deterministic(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_revisits_name_the_record_that_holds_their_payload(spark, tmp_path):
+    p, q = "p" * 150, "q" * 150
+    pages = [(5, "u", p), (5, "u", q), (9, "u", q), (9, "v", q), (5, "t", q), (5, "t", q), (1, None, "r" * 100), (2, None, "r" * 100), (None, "u", q)]
+    raw = gzip.decompress(archive(spark, tmp_path / "a", pages, 3)["part-000000-00000.warc.gz"])
+    records = [h for h, _ in warc.parse_records(raw)]
+    by_id = {h["warc-record-id"]: h for h in records}
+    assert len(by_id) == len(records) == len(pages) + 1
+    revisits = [h for h in records if h["warc-type"] == "revisit"]
+    assert len(revisits) == 5
+    for h in revisits:
+        told = by_id[h["warc-refers-to"]]
+        assert told["warc-type"] == "response" and told["warc-payload-digest"] == h["warc-payload-digest"] and told["x-page-id"] == h["x-refers-to-page-id"]
+
+
+def test_shards_follow_the_rows_not_their_ids(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    pages = [(i, "h", text(100)) for i in range(600)] + [(10**15, "h", text(100))] + [(50, f"h{i}", text(100)) for i in range(300)] + [(None, f"n{i}", text(100)) for i in range(300)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    sizes = []
+    for samples in (16, 10**6):
+        warc.SAMPLES_PER_SHARD, before = samples, warc.SAMPLES_PER_SHARD
+        try:
+            made = warc.write(rows, f"file://{tmp_path}/{samples}", shard_bytes=10_000).collect()
+        finally:
+            warc.SAMPLES_PER_SHARD = before
+        assert sum(r["records"] for r in made) == len(pages) + len(made) and len({r["shard"] for r in made}) == len(made) >= 10
+        sizes.append(max(r["records"] for r in made) / (len(pages) / len(made)))
+        found = warc.read(spark, f"file://{tmp_path}/{samples}").collect()
+        assert Counter((r["page_id"], r["url"]) for r in found) == Counter((p, u) for p, u, _ in pages)
+    assert sizes[0] < 2.5 and sizes[1] < 1.1
+
+
 def test_broken_archives(spark, tmp_path):
     archive(spark, tmp_path / "a", PAGES, 1)
     file = tmp_path / "a/part-000000-00000.warc.gz"
