@@ -178,58 +178,6 @@ def _place(bounds: list[tuple]):
     return place
 
 
-def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by shard, page, kind, url and digest. Rows without a page (kind 0) come before those
-        of the same page id and tell which page holds the response of a payload."""
-        roll, page, first, seen, copy = None, object(), {}, set(), 0
-        for batch in batches:
-            for row in zip(*(c for c in batch.columns)):
-                shard, page_id, kind, url, digest, first_id = (x.as_py() for x in row[:6])
-                if page_id != page:
-                    page, first, seen, copy = page_id, {}, set(), 0
-                if kind == 0:
-                    first[digest] = first_id
-                    continue
-                payload = row[6].as_py() or b""
-                if roll is None or roll.shard != shard or roll.bytes >= roll_bytes:
-                    number = roll.roll + 1 if roll is not None and roll.shard == shard else 0
-                    if roll is not None:
-                        yield _manifest_batch([roll.close()])
-                    roll = _Roll(base, shard, number, date)
-                refers_to = first.get(digest)
-                if refers_to == page_id and digest not in seen:
-                    refers_to = None
-                seen.add(digest)
-                roll.add(page_record(page_id, copy, url, payload, digest, refers_to, date))
-                copy += 1
-        if roll is not None:
-            yield _manifest_batch([roll.close()])
-
-    return write
-
-
-def _shards(base: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``base`` with its shard: contiguous ranges of page_id of about ``shard_bytes`` each.
-
-    The ranges come from exact sums over cells of equal width, 16 for each shard, so that they
-    depend on the rows alone. A null page_id is in the first shard.
-    """
-    low, high, total = base.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    shards = max(1, -(-(total or 0) // shard_bytes))
-    if low is None or shards == 1:
-        return base.withColumn("shard", F.lit(0)), 1
-    width = max(1, -(-(high - low + 1) // (shards * _CELLS_PER_SHARD)))
-    cell = F.floor((F.col("page_id") - low) / width).cast("long")
-    sums = base.where("page_id is not null").groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).orderBy("cell").collect()
-    placed, before = [], 0
-    for row in sums:
-        placed.append((row["cell"], min(shards - 1, (before * shards) // max(1, total))))
-        before += row["n"]
-    table = base.sparkSession.createDataFrame(placed, "cell long, shard int")
-    joined = base.withColumn("cell", cell).join(F.broadcast(table), "cell", "left")
-    return joined.withColumn("shard", F.coalesce("shard", F.lit(0))).drop("cell"), shards
-
-
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: datetime = datetime(2000, 1, 1, tzinfo=timezone.utc)) -> DataFrame:
     """Write one WARC record for each row into ``folder`` (a URI that executors and driver share) and
     return the manifest: (shard, roll, name, bytes, records, sha256) of each file.
