@@ -19,6 +19,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     if large:
         pairs = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = pairs.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
+    least = cut_lineage(least, "least")  # a side of its own, or the join couldn't be split on a hub
     linked = pairs.join(least, "u")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -32,7 +33,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): for every node of ``edges`` (long ids) the least node it is connected with.
 
     Alternating large-star and small-star steps. Every step aggregates per node with partial
-    sums, and a written table ends each round, so no component meets in one task or the driver.
+    sums and joins the written result, which Spark may split on a hub, and a written table ends each
+    round, so no component meets in one task or the driver.
     Nulls and self loops are ignored; an empty input gives an empty result.
     """
     pairs = (
