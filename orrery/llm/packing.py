@@ -137,7 +137,11 @@ class _Open:
             for give in given:
                 total = sum(give)
                 for table in tables:
-                    for gain in range(min(most, total), best[0] if best else 0, -1):
+                    most_gain, least_gain = min(most, total), best[0] if best else 0
+                    gains = range(most_gain, least_gain, -1)
+                    if len(table) < len(gains):
+                        gains = sorted((total - t for t in table if least_gain < total - t <= most_gain), reverse=True)
+                    for gain in gains:
                         places = table.get(total - gain)
                         if places and (total > gain or len(give) == 1):
                             k = bisect_left(places, (gain, -1))
