@@ -6,14 +6,16 @@ import json
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, NotFound
 from ..functions import distance as D
 from ..functions import sq8
 from ..functions.jsonops import MAX_PAYLOAD_BYTES
+from ..lineage import cut_lineage
 from ..operators import ann, mutation
+from ..operators.ann import attach
 from ..operators.graph import layered_graph
 from ..operators.knn import filtered_knn
 
@@ -49,7 +51,7 @@ class Index:
         if index._exists() and not reinit:
             raise InvalidArgument(f"there is an index at {path}")
         spark.createDataFrame([], mutation.LOG_SCHEMA).withColumn("batch", F.lit("")).write.mode("overwrite").partitionBy("batch").parquet(f"{index.path}/log")
-        for table in ("cells", "edges", "batches"):
+        for table in ("cells", "graph", "batches", "log-before", "log-compacted"):
             index._delete(table)
         spark.createDataFrame([(json.dumps(index.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{index.path}/meta")
         return index
@@ -59,10 +61,11 @@ class Index:
         index = cls(spark, path, {"dim": 0, "metric": "l2"})
         if not index._exists():
             raise NotFound(f"no index at {path}")
+        index._recover()
         return cls(spark, path, json.loads(spark.read.text(f"{index.path}/meta").first()[0]))
 
     def drop(self) -> None:
-        for table in ("log", "meta", "cells", "edges", "batches"):
+        for table in ("log", "meta", "cells", "graph", "batches", "log-before", "log-compacted"):
             self._delete(table)
 
     def describe(self) -> dict[str, Any]:
@@ -127,13 +130,21 @@ class Index:
     update = upsert = insert
 
     def insert_many(self, items: DataFrame, order_col: str | None = None) -> None:
-        """Insert a table (id, vec[, payload]). All rows are checked before any is written. Of rows of
-        one id the one of the greatest ``order_col`` wins."""
+        """Insert a table (id, vec[, payload]). All rows are checked before any is written. Rows of one
+        id count in the order of ``order_col``; of those that are equal in it (all, without one) the
+        greatest by vector, then payload, counts alone."""
         rows = self._items(items, order_col)
         mutation.check(rows.select("id", "vec", "payload"), self.dim)
-        self._write_upserts(rows, F.col("_order") if order_col else F.lit(0), "batch")
+        keys = ["id", "_order"] if order_col else ["id"]
+        one = rows.groupBy(*keys).agg(F.max(F.struct("vec", "payload")).alias("one")).select(*keys, "one.vec", "one.payload")
+        self._write_upserts(one, F.col("_order") if order_col else F.lit(0), "batch")
 
-    bulk_build = insert_many
+    def bulk_build(self, items: DataFrame, order_col: str | None = None) -> None:
+        """Insert a table into an index without vectors and build its graph."""
+        if self.log.where("op = 'upsert'").limit(1).count():
+            raise InvalidArgument("a bulk build needs an empty index")
+        self.insert_many(items, order_col)
+        self.build_graph()
 
     def _write_upserts(self, rows: DataFrame, order, batch: str) -> None:
         seq = F.lit(self._next()).cast("long") + order
@@ -152,17 +163,26 @@ class Index:
 
     def compact(self) -> None:
         """Replace the log by the current view: what many small writes and dead versions cost readers
-        goes, and so do the counts of versions. Nothing may be written meanwhile."""
+        goes, and so do the counts of versions. Nothing may be written meanwhile. The log is set aside
+        before the new one takes its place, and goes last; open() ends what a crash has left."""
         view = mutation.current_view(self.log)
-        rows = mutation.upserts(view, F.lit(1)).withColumn("batch", F.lit("compacted"))
+        rows = mutation.upserts(view, F.lit(self._next() - 1)).withColumn("batch", F.lit("compacted"))
         rows.write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/log-compacted")
         system, log = self._hadoop("log")
         for status in system.listStatus(log):  # a stream must still find the batches it has written
             name = status.getPath().getName().removeprefix("batch=")
             if name.startswith("stream-"):
                 system.mkdirs(self._hadoop(f"batches/{name}")[1])
-        system.delete(log, True)
-        system.rename(self._hadoop("log-compacted")[1], log)
+        self._delete("log-before")
+        system.rename(log, self._hadoop("log-before")[1])
+        self._recover()
+
+    def _recover(self) -> None:
+        if not self._exists("log") and self._exists("log-compacted"):
+            system, log = self._hadoop("log")
+            system.rename(self._hadoop("log-compacted")[1], log)
+        if self._exists("log"):
+            self._delete("log-before")
 
     def delete(self, *ids: int) -> None:
         """Delete ids; those that aren't alive don't matter."""
@@ -240,26 +260,80 @@ class Index:
 
     # Approximate search
 
+    def _touched(self, seq: int) -> DataFrame:
+        """The ids that were written after ``seq``."""
+        return self.log.where(F.col("seq") > seq).select("id").distinct()
+
+    def _with_fresh(self, found: DataFrame, touched: DataFrame, queries: DataFrame, k: int, filter: str | Mapping | None) -> DataFrame:
+        """The k nearest of what an index of older vectors found and of the vectors written since, which are scanned."""
+        fresh = mutation.current_view(self.log.join(touched, "id", "left_semi"))
+        if self.meta.get("storage") == "sq8":
+            fresh = fresh.withColumn("vec", sq8.decode(sq8.encode(F.col("vec"))))
+        both = found.select("qid", "id", "distance").unionByName(filtered_knn(fresh, queries, k, filter, self.metric).select("qid", "id", "distance"))
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+        return both.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "id", "rank", "distance")
+
     def build_cells(self, cells: int) -> None:
         """Cluster the vectors into cells, each a partition of a table."""
-        vectors = self.vectors
+        vectors, seq = self.vectors, self._next() - 1
         centres = ann.fit_cells(vectors, cells, self.metric)
         ann.assign_cells(vectors, centres, self.metric).write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/cells/rows")
-        self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{self.path}/cells/centres")
+        self.spark.createDataFrame([(i, c.tolist(), seq) for i, c in enumerate(centres)], "cell int, centre array<double>, seq long").write.mode("overwrite").parquet(f"{self.path}/cells/centres")
 
     def search_cells(self, queries: DataFrame, k: int, probes: int, filter: str | Mapping | None = None) -> DataFrame:
+        """(qid, id, rank, distance): the k nearest in the ``probes`` nearest cells and among all that was
+        written since build_cells(). Deleted and replaced vectors are no candidates."""
         import numpy as np
 
-        rows = self.spark.read.parquet(f"{self.path}/cells/rows")
-        centres = np.array([r["centre"] for r in self.spark.read.parquet(f"{self.path}/cells/centres").orderBy("cell").collect()])
-        return ann.cell_search(rows, centres, queries, k, probes, self.metric, filter)
+        centres = self.spark.read.parquet(f"{self.path}/cells/centres").orderBy("cell").collect()
+        if not centres:
+            return self.search_many(queries, k, filter)
+        touched = self._touched(centres[0]["seq"])
+        rows = self.spark.read.parquet(f"{self.path}/cells/rows").join(touched, "id", "left_anti")
+        found = ann.cell_search(rows, np.array([r["centre"] for r in centres]), queries, k, probes, self.metric, filter)
+        return self._with_fresh(found, touched, queries, k, filter)
+
+    def _write_graph(self, edges: DataFrame, nodes: DataFrame, seq: int) -> None:
+        """A version of its own; the graph is the one of the greatest seq that is whole (its edges come last)."""
+        nodes.select("id", "vec").write.mode("overwrite").parquet(f"{self.path}/graph/nodes/seq={seq}")
+        edges.write.mode("overwrite").parquet(f"{self.path}/graph/edges/seq={seq}")
+
+    def _graph(self) -> tuple[DataFrame, DataFrame, int]:
+        edges = self.spark.read.parquet(f"{self.path}/graph/edges")
+        seqs = [int(s.getPath().getName()[4:]) for s in self._listed("graph/edges") if self._exists(f"graph/edges/{s.getPath().getName()}/_SUCCESS")]
+        seq = max(seqs)
+        return edges.where(F.col("seq") == seq).drop("seq"), self.spark.read.parquet(f"{self.path}/graph/nodes/seq={seq}"), seq
+
+    def _listed(self, name: str) -> list:
+        system, where = self._hadoop(name)
+        return [s for s in system.listStatus(where) if s.getPath().getName().startswith("seq=")]
 
     def build_graph(self) -> None:
-        layered_graph(self.vectors.select("id", "vec"), self.meta["m"], self.meta["m_max"], self.metric).write.mode("overwrite").parquet(f"{self.path}/edges")
+        """A layered graph of all vectors."""
+        seq, nodes = self._next() - 1, cut_lineage(self.vectors.select("id", "vec"), "nodes")
+        self._write_graph(layered_graph(nodes, self.meta["m"], self.meta["m_max"], self.metric), nodes, seq)
+
+    def extend_graph(self) -> None:
+        """Attach the vectors written since the graph was built or last extended: each is linked with
+        diverse ones of the nodes that a search of the graph finds. What was deleted or replaced
+        leaves the graph, and its neighbours are linked with one another's nearest."""
+        edges, nodes, since = self._graph()
+        seq, touched = self._next() - 1, cut_lineage(self._touched(since), "touched")
+        fresh = cut_lineage(mutation.current_view(self.log.join(touched, "id", "left_semi")).select("id", "vec"), "fresh")
+        edges, nodes = attach(edges, nodes, touched, fresh, self.meta["m"], self.meta["m_max"], self.meta["ef_search"], self.metric)
+        self._write_graph(edges, nodes, seq)
 
     def search_graph(self, queries: DataFrame, k: int, ef_search: int | None = None, filter: str | Mapping | None = None, max_scan: int = 0) -> DataFrame:
-        edges = self.spark.read.parquet(f"{self.path}/edges")
-        return ann.graph_search(edges, self.vectors, queries, k, ef_search or self.meta["ef_search"], self.metric, filter, max_scan, self.dim)
+        """(qid, id, rank, distance) by walks on the graph, and among all that was written since it was
+        built or extended. Vectors deleted or replaced since are walked through, but not returned."""
+        edges, nodes, seq = self._graph()
+        touched = self._touched(seq)
+        payloads = self.vectors.select("id", "payload") if filter is not None else None
+        rows = nodes.join(touched.withColumn("_gone", F.lit(True)), "id", "left").withColumn("alive", F.col("_gone").isNull()).drop("_gone")
+        if payloads is not None:
+            rows = rows.join(payloads, "id", "left")
+        found = ann.graph_search(edges, rows, queries, k, ef_search or self.meta["ef_search"], self.metric, filter, max_scan, self.dim)
+        return self._with_fresh(found, touched, queries, k, filter)
 
 
 def _json(payload: str | Mapping | None) -> str | None:

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"graph_search_filtered_recall"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() > 0
 
