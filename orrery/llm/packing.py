@@ -19,7 +19,7 @@ CAPACITY = 2048
 #: Pieces that are packed together in one task.
 PIECES_PER_GROUP = 20_000
 END_ID = 0
-_CACHE = 1 << 19
+_CACHE = 1 << 20
 #: What the split below isn't made for: characters beyond Latin, odd controls, special tokens.
 _OTHER = re.compile("[^\\x00-\\x1b -\\x84\\x86-\\u012f\\u0131-\\u024f]|<\\|")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
