@@ -353,7 +353,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Batches of about four megabytes, or one value."""
     for batch in batches:
-        size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         edge = np.searchsorted(np.cumsum(size), np.arange(_STEP, size.sum() + _STEP, _STEP)).tolist()
         at = 0
         for upto in [*(e + 1 for e in edge), batch.num_rows]:
@@ -363,24 +363,42 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[b
                 at = upto
 
 
+def _described(data: bytes, decoded) -> tuple:
+    """The features of one image but its id."""
+    head, (blocks,) = decoded
+    payload = recover(head, blocks)
+    look = f"{difference_hash(thumbnail(head, blocks)):016x}"
+    return (
+        head.payload_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]),
+        len(data), hashlib.sha256(data).hexdigest(), f"{head.width}x{head.height}:{look}", head.width, head.height, look, None,
+    )
+
+
+def _alone(data: bytes) -> tuple:
+    """The features of an image that may be broken."""
+    try:
+        return _described(data, next(iter(decode_batch([data]))))
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error) as e:
+        return (None,) * 4 + (len(data), hashlib.sha256(data).hexdigest()) + (None,) * 4 + (f"{type(e).__name__}: {e}"[:200],)
+
+
 def features(media: DataFrame) -> DataFrame:
     """What the stored bytes of (doc_id, media) give when they are read again: the payload's length,
     digest and tail, the media's length and digest, width, height, and the dHash of the thumbnail,
-    joined in ``feature``. A column with bytes that aren't a baseline JPEG of store() fails the task."""
-    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumbnail_hash string"
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    joined in ``feature``, and ``error``. Of bytes that aren't a baseline JPEG of store() only the media's length and
+    digest are known, and ``error`` says why; a null ``media`` gives nulls."""
+    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumbnail_hash string, error string"
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
     names = [x.split()[0] for x in kind.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, images in _parts(batches):
-            found = []
-            for data, (head, (blocks,)) in zip(images, decode_batch(images)):
-                payload = recover(head, blocks)
-                look = f"{difference_hash(thumbnail(head, blocks)):016x}"
-                found.append((
-                    head.payload_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]),
-                    len(data), hashlib.sha256(data).hexdigest(), f"{head.width}x{head.height}:{look}", head.width, head.height, look,
-                ))
+            known = [x for x in images if x is not None]
+            try:
+                told = iter([_described(x, d) for x, d in zip(known, decode_batch(known))] if known else [])
+            except (ValueError, IndexError, KeyError, OverflowError, struct.error):
+                told = iter([_alone(x) for x in known])
+            found = [next(told) if x is not None else (None,) * len(kinds[1:]) for x in images]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), t) for c, t in zip(zip(*found), kinds[1:]))], names=names)
 
     return media.mapInArrow(rows, kind)

@@ -127,3 +127,15 @@ def test_query_columns(spark):
     assert rows[2]["feature"] == rows[3]["feature"] and rows[2]["media_sha256"] == rows[3]["media_sha256"]
     assert rows[0]["media_sha256"] == rows[1]["media_sha256"]
     assert M.features(M.to_media(docs.limit(0))).count() == 0
+
+
+def test_null_and_broken_media(spark):
+    good = M.store(b"some text".ljust(64, b"\0"), 9)
+    rows = [(1, good), (2, None), (3, b""), (4, b"no image"), (5, good[: len(good) // 2]), (None, good), (1, good), (6, good.replace(b"\xff\xc0", b"\xff\xc9"))]
+    got = M.features(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert [r["doc_id"] for r in got].count(1) == 2 and len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[1]["error"] is None and by_id[1]["n_bytes"] == 9 and by_id[None]["feature"] == by_id[1]["feature"]
+    assert by_id[2]["media_bytes"] is None and by_id[2]["error"] is None
+    assert all(by_id[i]["error"] and by_id[i]["n_bytes"] is None for i in (3, 4, 5, 6)) and by_id[4]["media_bytes"] == 8
+    assert M.features(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
