@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..functions.jsonops import delete_keys, merge_patch, payload_error
+from ..lineage import cut_lineage
 
 LOG_SCHEMA = "id long, seq long, op string, vec array<float>, payload string, payload_set boolean"
 _COLUMNS = ("id", "seq", "op", "vec", "payload", "payload_set")
@@ -61,8 +62,9 @@ def payloads(items: DataFrame, seq: Column) -> DataFrame:
 def _since_delete(log: DataFrame) -> DataFrame:
     """The rows of each id after its last delete.
 
-    The last deletes are sums of partial sums, and the join with them may be split on a hot id."""
-    last = log.where("op = 'delete'").groupBy("id").agg(F.max("seq").alias("_deleted"))
+    The last deletes are sums of partial sums, and a written table: a side of its own, or the join
+    couldn't be split on a hot id."""
+    last = cut_lineage(log.where("op = 'delete'").groupBy("id").agg(F.max("seq").alias("_deleted")), "last-deletes")
     return log.join(last, "id", "left").where("_deleted is null or seq > _deleted").drop("_deleted")
 
 

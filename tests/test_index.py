@@ -214,3 +214,61 @@ def test_written_tables_can_be_cleared(spark):
     assert os.path.exists(path)
     clear(spark)
     assert not os.path.exists(path)
+
+
+def split_joins(spark, run):
+    """The plan that ran, with joins that may not be broadcast and partitions that count as skewed early."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = run()
+        out.collect()
+        return out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_a_hot_id_of_the_log_is_split(spark):
+    hot = spark.range(0, 40_000, 1, 8).selectExpr("if(id % 3 > 0, 7L, id) id", "id seq", "if(id % 1000 = 1, 'delete', 'upsert') op", "array(float(id)) vec", "string(null) payload", "false payload_set")
+    assert "skew=true" in split_joins(spark, lambda: mutation._since_delete(hot))
+
+
+def test_a_crash_between_the_renames_of_a_compaction(spark, tmp_path):
+    index = Index.create(spark, f"file://{tmp_path}/i", 2)
+    index.insert(1, [1, 2])
+    index.insert(1, [3, 4])
+    index.insert(2, [5, 6])
+    index.compact()
+    assert index.get(1) == [3, 4] and index.count() == 2 and index.log.count() == 2
+    (tmp_path / "i/log").rename(tmp_path / "i/log-compacted")
+    again = Index.open(spark, f"file://{tmp_path}/i")
+    assert again.get(2) == [5, 6] and again.count() == 2
+    again.insert(3, [7, 8])
+    assert again.log.agg({"seq": "max"}).first()[0] == 4
+
+
+def test_duplicates_bulk_builds_and_extended_graphs(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(120, 4)).astype(float).tolist()
+    rows = spark.createDataFrame([(i, p, None) for i, p in enumerate(points[:100])], "id long, vec array<double>, payload string")
+    index = Index.create(spark, f"file://{tmp_path}/i", 4, m=4, m_max=8)
+    index.bulk_build(rows)
+    with pytest.raises(InvalidArgument):
+        index.bulk_build(rows)
+    index.delete(*range(0, 20))
+    index.insert_many(spark.createDataFrame([(i, p, "{}") for i, p in enumerate(points[100:], 100)] + [(30, [9.0] * 4, None), (30, [8.0, 9.0, 9.0, 9.0], "{}")], "id long, vec array<double>, payload string"))
+    assert index.get(30) == [9, 9, 9, 9] and index.get_payload(30) == "{}"
+    queries = spark.createDataFrame([(0, points[0]), (1, points[105]), (2, [9.0] * 4)], "qid long, qvec array<double>")
+    truth = {(r["qid"], r["id"]) for r in index.search_many(queries, 5).collect()}
+    for _ in ("before", "after the graph is extended"):
+        found = {(r["qid"], r["id"]) for r in index.search_graph(queries, 5, 32).collect()}
+        assert len(found & truth) >= 13 and not any(i < 20 for _, i in found) and (2, 30) in found and (1, 105) in found
+        index.extend_graph()
+    cells = {(r["qid"], r["id"]) for r in (index.build_cells(4), index.delete(105), index.search_cells(queries, 5, 4))[2].collect()}
+    assert cells == {(r["qid"], r["id"]) for r in index.search_many(queries, 5).collect()} and (1, 105) not in cells
