@@ -355,6 +355,21 @@ def _backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.rng_prune(graph.knn_graph(rows, 24), rows.select("id", "vec"), 8, backfill=True), "dist")
 
 
+def _pruned_sql(backfill: bool = False) -> str:
+    """The 24 nearest in order of distance: one stays unless one that stayed is nearer to it than the node is."""
+    chosen = "QUALIFY row_number() OVER (PARTITION BY c.src ORDER BY NOT list_contains(kept, r), r) <= 8" if backfill else "WHERE list_contains(kept, r)"
+    return f"""
+WITH RECURSIVE s AS (SELECT q.vec_id AS src, v.vec_id AS dst, v.embedding::DOUBLE[] AS vec, list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
+  FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS r FROM s) WHERE r <= 24),
+nearer AS (SELECT x.src, x.r, list(y.r) AS than FROM c x JOIN c y ON y.src = x.src AND y.r < x.r WHERE list_distance(x.vec, y.vec) < x.d GROUP BY x.src, x.r),
+walk AS (SELECT DISTINCT src, 0::BIGINT AS step, []::BIGINT[] AS kept FROM c
+  UNION ALL SELECT w.src, step + 1, CASE WHEN len(kept) < 8 AND NOT coalesce(list_has_any(kept, than), false) THEN list_append(kept, step + 1) ELSE kept END
+  FROM walk w LEFT JOIN nearer n ON n.src = w.src AND n.r = step + 1 WHERE step < 24)
+SELECT c.src, dst, round(d, 6) AS dist FROM c JOIN walk w ON w.src = c.src AND step = 24 {chosen}
+"""
+
+
 def _checked_recall(found: DataFrame, truth: DataFrame, k: int, queries: DataFrame, least: float) -> DataFrame:
     """The recall; a recall below ``least`` fails the query."""
     short = F.raise_error(F.lit(f"recall is below {least}")).cast("double")
@@ -619,6 +634,8 @@ SELECT inserts, inserts - alive AS tombstones, updated_ids, round((inserts - ali
         "knn_graph_m8": f"SELECT src, dst, round(d, 6) AS dist FROM ({_GRAPH_SQL})",
         "graph_symmetrize": f"SELECT src, dst, round(d, 6) AS dist FROM ({_BOTH_SQL})",
         "graph_degree_cap": f"SELECT src, dst, round(d, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS r FROM ({_BOTH_SQL})) WHERE r <= 6",
+        "rng_prune": _pruned_sql(),
+        "rng_prune_backfill": _pruned_sql(backfill=True),
         "level_histogram": _LEVELS_SQL,
         "simhash_collisions": _collisions_sql(),
         "cell_search_all": _knn_sql(10),
