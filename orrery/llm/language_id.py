@@ -48,8 +48,8 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
 def ngram_counts(texts: list[bytes], features: int) -> np.ndarray:
     """(texts x features) counts of hashed byte 2-grams, 3-grams and 4-grams of the whole texts.
 
-    Texts are lower-cased by the caller and stand between blanks; runs of other characters than
-    letters count as one blank, so that digits and punctuation say nothing.
+    Texts are lower-cased by the caller and stand between blanks; other characters than letters
+    count as blanks, and a gram's second byte is none, so that digits and punctuation say nothing.
     """
     out = np.zeros((len(texts), features), dtype=np.float32)
     at = 0

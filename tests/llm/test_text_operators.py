@@ -1,6 +1,9 @@
 import hashlib
+import math
+import operator
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -50,6 +53,63 @@ def test_long_texts_count_whole(monkeypatch):
     assert (L.ngram_counts([text, b"abc", b""], 1 << 10) == whole).all() and whole[2].sum() == 0
 
 
+GRAM_FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+
+
+def plain_grams(text, bits):
+    """Hashed grams by definition: two, three and four bytes from each byte that a letter follows."""
+    s = b"   " + bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode()) + b"   "
+    found = Counter()
+    for i in range(len(s) - 3):
+        for n in (2, 3, 4) if s[i + 1] != 32 else ():
+            h = sum(a * b for a, b in zip(s[i : i + n], GRAM_FACTORS)) % 2**32
+            found[(h ^ h >> 15) * 0x2C1B3C6D % 2**32 >> 32 - bits] += 1
+    return found
+
+
+def test_language_by_definition(spark, sf):
+    docs = table(spark, sf, "documents")
+    texts = {r["doc_id"]: (r["text"], r["lang"], plain_grams(r["text"], 13)) for r in docs.collect()}
+    told = {}
+    for doc_id, (_, lang, grams) in texts.items():
+        if zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            told.setdefault(lang, Counter()).update(grams)
+    names = sorted(told)
+    share = {x: [(told[x][f] + 0.5) / (told[x].total() + 0.5 * 2**13) for f in range(2**13)] for x in names}
+    code = dict(zip(names, L.codewords(len(names)).tolist()))
+    bits = range(len(code[names[0]]))
+
+    def side(bit, sign):
+        own = [share[x] for x in names if code[x][bit] == sign]
+        return [sum(column) / len(own) for column in zip(*own)]
+
+    weights = [[math.log(a / b) for a, b in zip(side(bit, 1), side(bit, -1))] for bit in bits]
+    usual = {x: [code[x][b] * sum(map(operator.mul, share[x], weights[b])) for b in bits] for x in names}
+    scale = [sum(abs(usual[x][b]) for x in names) / len(names) for b in bits]
+    trust = {x: [max(usual[x][b] / scale[b], 0.05) for b in bits] for x in names}
+
+    def loss(grams, x):
+        total = 0.0
+        for b in bits:
+            margin = sum(n * weights[b][f] for f, n in grams.items()) / grams.total() / scale[b]
+            total += trust[x][b] / sum(trust[x]) * math.log1p(math.exp(-2 * code[x][b] * max(-4, min(4, margin))))
+        return total
+
+    found = L.identify(docs).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        text, _, grams = texts[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(map(str.isalpha, text)):
+            assert r["lang_pred"] == "und"
+            continue
+        losses = {x: loss(grams, x) for x in names}
+        least = min(losses.values())
+        assert losses[r["lang_pred"]] <= least + 1e-4
+        assert r["score"] == pytest.approx(1 / sum(math.exp(-L.SHARPNESS * (v - least)) for v in losses.values()), abs=1e-3)
+        assert r["ambiguous"] == (r["score"] < L.AMBIGUOUS)
+
+
 def plain_cuts(words, breaks):
     """Boundaries by their definition, one window at a time."""
     h = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) // 2 for w in words]
