@@ -17,7 +17,7 @@ UNDETERMINED = "und"
 SHARPNESS = 6.0
 #: Predictions that score less are flagged as ambiguous.
 AMBIGUOUS = 0.6
-_SLICE = 1 << 21
+_SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
